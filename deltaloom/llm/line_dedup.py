@@ -80,19 +80,19 @@ def keep_bitmaps(df: DataFrame, min_docs: int, min_chars: int = 1, id_col: str =
 
 
 def apply_bitmaps(df: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``df`` with _kept_text (null text stays null), _n_lines and _n_dropped; one exchange of the text."""
-    maps = bitmaps.where("n_dropped > 0").select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"), F.col("n_dropped").alias("_dropped"), F.col("keep").alias("_keep"))
-    joined = df.join(maps, df[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(text_of(text_col)) == F.col("_hash")), "left")
+    """All columns of ``df`` with __dl_text (null text stays null), __dl_lines and __dl_gone; one exchange of the text."""
+    maps = bitmaps.where("n_dropped > 0").select(F.col(id_col).alias("__dl_id"), F.col("text_hash").alias("__dl_hash"), F.col("n_dropped").alias("__dl_dropped"), F.col("keep").alias("__dl_keep"))
+    joined = df.join(maps, df[id_col].eqNullSafe(F.col("__dl_id")) & (F.xxhash64(text_of(text_col)) == F.col("__dl_hash")), "left")
     lines = lines_of(text_of(text_col))
-    kept = F.array_join(F.transform(F.filter(F.arrays_zip(lines.alias("l"), bitmap_bits(F.col("_keep")).alias("k")), lambda x: x["k"]), lambda x: x["l"]), "\n")
-    return joined.select(*[df[c] for c in df.columns], F.when(F.col("_keep").isNull(), df[text_col]).otherwise(kept).alias("_kept_text"), F.size(lines).cast("long").alias("_n_lines"), F.coalesce("_dropped", F.lit(0).cast("long")).alias("_n_dropped"))
+    kept = F.array_join(F.transform(F.filter(F.arrays_zip(lines.alias("l"), bitmap_bits(F.col("__dl_keep")).alias("k")), lambda x: x["k"]), lambda x: x["l"]), "\n")
+    return joined.select(*[df[c] for c in df.columns], F.when(F.col("__dl_keep").isNull(), df[text_col]).otherwise(kept).alias("__dl_text"), F.size(lines).cast("long").alias("__dl_lines"), F.coalesce("__dl_dropped", F.lit(0).cast("long")).alias("__dl_gone"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     out = apply_bitmaps(docs, keep_bitmaps(docs, min_docs=10, min_chars=1))
-    kept = F.sha2(F.encode(F.coalesce("_kept_text", F.lit("")), "UTF-8"), 256)
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), kept.alias("kept_sha256"))
+    kept = F.sha2(F.encode(F.coalesce("__dl_text", F.lit("")), "UTF-8"), 256)
+    return out.select("doc_id", F.col("__dl_lines").alias("n_lines"), F.col("__dl_gone").alias("n_dropped"), kept.alias("kept_sha256"))
 
 
 SQL = r"""

@@ -12,7 +12,7 @@
    returns a spanning forest of its links, at most as many as it has members.
 
 No cap on buckets, partners or candidates. A pair at the threshold shares no bucket with probability
-(1 - 0.85^8)^40 = 3e-6; the estimate rules out only what lies 5 standard errors below the threshold.
+below 1e-5, from which the band length follows (8 at 0.85); the estimate rules out only what lies 5 standard errors below the threshold.
 Step 4 compares all pairs of a cluster whose members are alike but not linked; that cost is inherent to confirming
 them, it is spread over blocks, and no pair leaves a task unless it is a link of the forest.
 
@@ -35,7 +35,12 @@ from .common import park, read, text_of, wide
 from .components import components
 from .shingles import SetSketch, shingle_sets
 
-REGISTERS, BAND_ROWS, BLOCK = 320, 8, 256
+REGISTERS, BLOCK, MISS = 320, 256, 1e-5
+
+
+def band_rows_for(percent: int, registers: int = REGISTERS, miss: float = MISS) -> int:
+    """The longest bands with which a pair at the threshold shares no bucket with probability ``miss`` at most."""
+    return max(r for r in range(1, 33) if (1 - (percent / 100) ** r) ** (registers // r) <= miss or r == 1)
 
 
 def sketched(df: DataFrame, id_col: str, text_col: str, registers: int = REGISTERS, width: int = 5) -> DataFrame:
@@ -55,7 +60,7 @@ def sketched(df: DataFrame, id_col: str, text_col: str, registers: int = REGISTE
     return narrow.mapInArrow(run, "id long, n_shingles long, set_key binary, registers binary")
 
 
-def band_keys(reps: DataFrame, band_rows: int = BAND_ROWS) -> DataFrame:
+def band_keys(reps: DataFrame, band_rows: int) -> DataFrame:
     """(rep, bucket): one row for each band of a representative; the bucket's hash includes the band's number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +175,7 @@ def near_duplicates(df: DataFrame, percent: int, id_col: str = "doc_id", text_co
     classes = park(some.groupBy("set_key").agg(F.min("id").alias("rep"), F.first("registers").alias("registers")), "classes")
     reps = classes.where("rep is not null").select("rep", "registers")
     # Two classes share a representative only if one id has several texts; either stands for the id.
-    buckets = band_keys(reps)
+    buckets = band_keys(reps, band_rows_for(percent))
     hubs = buckets.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub <> top").select("bucket", "hub")
     stars = park(buckets.join(hubs, "bucket").where("rep <> hub").select("hub", "rep").distinct(), "stars")
     clusters = components(stars.select(F.col("hub").alias("u"), F.col("rep").alias("v")))

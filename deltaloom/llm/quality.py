@@ -173,18 +173,20 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 
 def score(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col``, the columns ``keep`` and score of every row: a scan without shuffle."""
-    schema = docs.select(F.col(id_col), *keep).schema
+    """``id_col``, the columns ``keep`` and score (_score if there is such a column) of every row: a scan without shuffle."""
+    names = [id_col, *keep]
+    fields = [docs.schema[c].dataType.simpleString() for c in names]
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
-            s = np.concatenate([np.zeros(0), *(m.score(x) for x in features(b.column("_text")))])
-            yield pa.record_batch([*(b.column(f.name) for f in schema), pa.array(s)], names=[*(f.name for f in schema), "_score"])
+            s = np.concatenate([np.zeros(0), *(m.score(x) for x in features(b.column("text")))])
+            yield pa.record_batch([*b.columns[:-1], pa.array(s)], names=[*(f"c{i}" for i in range(len(names))), "score"])
 
-    wanted = docs.select(F.col(id_col), *keep, text_of(text_col).alias("_text"))
-    return wanted.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", _score double").withColumnRenamed("_score", "score")
+    wanted = docs.select(*(docs[c].alias(f"c{i}") for i, c in enumerate(names)), text_of(text_col).alias("text"))
+    scored = wanted.mapInArrow(run, ", ".join(f"c{i} {t}" for i, t in enumerate(fields)) + ", score double")
+    return scored.toDF(*names, "score" if "score" not in names else "_score")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
