@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are laid out at once; a longer text is a slice of its own.
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 
 class Memo:
@@ -71,7 +71,7 @@ def joined(parts: list[str]) -> list[str]:
 class Units:
     """``solve(list of unit strings) -> list of values``. ``newline_splits``: a line feed is a border like a space."""
 
-    def __init__(self, solve: Callable[[list[str]], list], limit: int = 400_000, newline_splits: bool = False):
+    def __init__(self, solve: Callable[[list[str]], list], limit: int = 250_000, newline_splits: bool = False):
         self.memo = Memo(solve, limit)
         self.newline_splits = newline_splits
 
