@@ -18,7 +18,7 @@ def pattern_regex(pattern: str) -> str:
 
 def regex_of(pattern: Column) -> Column:
     """The same for a column of valid patterns."""
-    esc = F.regexp_replace(F.regexp_replace(pattern, r"[.]", r"\\\\."), r"[*]", "[^.]+")
+    esc = F.regexp_replace(F.regexp_replace(pattern, r"[.]", r"\\."), r"[*]", "[^.]+")
     return F.concat(F.lit(r"\A"), F.regexp_replace(esc, ">$", ".+"), F.lit(r"\z"))
 
 
