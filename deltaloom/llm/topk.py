@@ -6,7 +6,12 @@ through a stripe of blocks in descending length. What it already holds for a que
 chunk is left when |q| |c| lies below it, and a pair when its partial product plus |q rest| |c rest| does. Survivors
 are scored with whole integers, so the result is exact; ties at the threshold always survive.
 
-Queries are a stated set; they meet all rows in blocks. Memory of a task: QUERY_BLOCK queries and one chunk.
+Stripes do not know of each other. So the SEED longest vectors are offered to all queries first; the k-th score found
+there is a lower bound of a query's k-th score overall, and each stripe starts from it: it scores and returns little
+more than what can be in the result, instead of k rows a query.
+
+Queries are a stated set; they meet all rows in blocks. Memory of a task: QUERY_BLOCK queries and one chunk. The driver
+holds SEED vectors and d x d sums, at every size of the input.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, as query or candidate; a row
 is not its own query's candidate (rows that share an id count as one row's); ties go to the smaller id; vectors of
@@ -26,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import park, read, wide
 
-BLOCK, QUERY_BLOCK, CHUNK, LEAD = 4096, 4096, 512, 16
+BLOCK, QUERY_BLOCK, CHUNK, LEAD, SEED = 4096, 4096, 512, 16, 2048
 
 
 def integers(c: Column) -> Column:
@@ -90,10 +95,10 @@ def blocks(vectors: DataFrame, dim: int, size: int) -> DataFrame:
 class Best:
     """The k best (score descending, id ascending) of each query so far."""
 
-    def __init__(self, n: int, k: int):
+    def __init__(self, n: int, k: int, least: np.ndarray | None = None):
         self.k, self.n = k, n
         self.q, self.score, self.id = (np.zeros(0, np.int64) for _ in range(3))
-        self.least = np.full(n, np.iinfo(np.int64).min)
+        self.least = np.full(n, np.iinfo(np.int64).min) if least is None else least.copy()
 
     def add(self, q: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
         q, score, ids = np.concatenate([self.q, q]), np.concatenate([self.score, score]), np.concatenate([self.id, ids])
@@ -103,7 +108,7 @@ class Best:
         keep = rank < self.k
         self.q, self.score, self.id = q[keep], score[order][keep], ids[order][keep]
         last = rank[keep] == self.k - 1
-        self.least[self.q[last]] = self.score[last]
+        self.least[self.q[last]] = np.maximum(self.least[self.q[last]], self.score[last])
 
 
 def search(best: Best, q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, turn: np.ndarray) -> None:
@@ -136,6 +141,23 @@ def search(best: Best, q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: n
         best.add(live[a[good]], score[good], ids[b[good]])
 
 
+def bounded(asked: DataFrame, seed_ids: np.ndarray, seeds: np.ndarray, turn: np.ndarray, k: int) -> DataFrame:
+    """Blocks of queries with ``least``: for each query the k-th score among the seeds (the least integer if fewer)."""
+    dim = seeds.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            least = []
+            for ids, data in zip(b.column("ids").to_pylist(), b.column("data").to_pylist(), strict=True):
+                ids = np.frombuffer(ids, np.int64)
+                best = Best(len(ids), k)
+                search(best, ids, np.frombuffer(data, np.int64).reshape(-1, dim), seed_ids, seeds, turn)
+                least.append(best.least.tobytes())
+            yield pa.record_batch([*(b.column(c) for c in ("part", "nth", "ids", "data")), pa.array(least, pa.binary())], names=["part", "nth", "ids", "data", "least"])
+
+    return asked.select("part", "nth", "ids", "data").mapInArrow(run, "part int, nth int, ids binary, data binary, least binary")
+
+
 def top_k(df: DataFrame, k: int, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of the rows where ``is_query`` (over column id) holds against all rows."""
     spark = df.sparkSession
@@ -149,16 +171,19 @@ def top_k(df: DataFrame, k: int, is_query: Column, id_col: str = "vec_id", vecto
     turn = rotation(vectors, dim)
     ordered = vectors.repartitionByRange(max(1, -(-n // BLOCK)), F.col("norm2").desc(), "id").sortWithinPartitions(F.col("norm2").desc(), "id")
     candidates = park(blocks(ordered, dim, BLOCK), "candidates")
-    asked = park(blocks(vectors.where(is_query).repartition(max(1, -(-n // (8 * QUERY_BLOCK)))), dim, QUERY_BLOCK), "queries")
+    first = vectors.orderBy(F.col("norm2").desc(), "id").limit(SEED).select("id", "v").toArrow().combine_chunks()
+    seed_ids, seeds = first.column("id").to_numpy(), np.concatenate([matrix(c, dim) for c in first.column("v").chunks])
+    asked = blocks(vectors.where(is_query).repartition(max(1, -(-n // (8 * QUERY_BLOCK)))), dim, QUERY_BLOCK)
+    asked = park(bounded(asked, seed_ids, seeds, turn, k), "queries")
     # Stripes take every m-th partition of the order, so each begins with long vectors.
     stripes = wide(spark)
-    q = asked.select(F.struct("part", "nth").alias("qb"), "ids", "data")
+    q = asked.select(F.struct("part", "nth").alias("qb"), "ids", "data", "least")
     tags = q.select("qb")
     mine = candidates.select((F.col("part") % stripes).alias("stripe"), F.col("longest").alias("at"), "ids", "data")
-    queries = q.select("qb", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"), F.lit(float("inf")).alias("at"), "ids", "data")
+    queries = q.select("qb", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"), F.lit(float("inf")).alias("at"), "ids", "data", "least")
     # Every block of the stated queries meets every block of rows.
-    met = mine.join(F.broadcast(tags) if n <= BLOCK * QUERY_BLOCK else tags).select("qb", "stripe", "at", "ids", "data")
-    rows = met.unionByName(queries).select("qb.part", "qb.nth", "stripe", "at", "ids", "data").repartition(wide(spark), "part", "nth", "stripe").sortWithinPartitions("part", "nth", "stripe", F.col("at").desc())
+    met = mine.join(F.broadcast(tags) if n <= BLOCK * QUERY_BLOCK else tags).select("qb", "stripe", "at", "ids", "data", F.lit(None).cast("binary").alias("least"))
+    rows = met.unionByName(queries).select("qb.part", "qb.nth", "stripe", "at", "ids", "data", "least").repartition(wide(spark), "part", "nth", "stripe").sortWithinPartitions("part", "nth", "stripe", F.col("at").desc())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, q_ids, q_rows = None, None, None
@@ -167,12 +192,12 @@ def top_k(df: DataFrame, k: int, is_query: Column, id_col: str = "vec_id", vecto
             return pa.record_batch([pa.array(q_ids[best.q]), pa.array(best.id), pa.array(best.score)], names=["query_id", "vec_id", "score"])
 
         for b in batches:
-            for at, ids, data in zip(b.column("at").to_pylist(), b.column("ids").to_pylist(), b.column("data").to_pylist(), strict=True):
+            for at, ids, data, least in zip(*(b.column(c).to_pylist() for c in ("at", "ids", "data", "least")), strict=True):
                 ids, data = np.frombuffer(ids, np.int64), np.frombuffer(data, np.int64).reshape(-1, dim)
                 if at == float("inf"):
                     if best is not None and len(best.q):
                         yield found()
-                    best, q_ids, q_rows = Best(len(ids), k), ids, data
+                    best, q_ids, q_rows = Best(len(ids), k, np.frombuffer(least, np.int64)), ids, data
                 else:
                     search(best, q_ids, q_rows, ids, data, turn)
         if best is not None and len(best.q):
