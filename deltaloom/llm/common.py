@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+import time
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +56,29 @@ def ascii_lower(c: Column) -> Column:
 def read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return df.select(*cols) if cols else df
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, which gives freed memory back to the system every second and when it ends.
+
+    Python workers live on from stage to stage; what their allocators keep counts against the executor all the while.
+    """
+
+    def trim() -> None:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = time.monotonic()
+        for out in run(batches):
+            yield out
+            if time.monotonic() - last > 1:
+                del out
+                trim()
+                last = time.monotonic()
+        trim()
+
+    return task
