@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are laid out at once; a longer text is a slice of its own.
 SLICE = 4 << 20
+#: Units that the library encodes at once.
+LOT = 8192
 
 
 class Memo:
@@ -161,7 +163,8 @@ def encoder(path: str, newline_splits: bool = False) -> Callable[[pa.Array], Ite
         kind = id_type(tok.get_vocab_size(with_added_tokens=True))
 
         def solve(units: list[str]) -> list[bytes]:
-            return [np.asarray(e.ids, kind).tobytes() for e in tok.encode_batch_fast(units, add_special_tokens=False)]
+            lots = (units[i : i + LOT] for i in range(0, len(units), LOT))  # the library's encodings are many times their ids
+            return [np.asarray(e.ids, kind).tobytes() for lot in lots for e in tok.encode_batch_fast(lot, add_special_tokens=False)]
 
         units = Units(solve, newline_splits=newline_splits)
         odd = [t.content for t in tok.get_added_tokens_decoder().values() if any(c.isspace() for c in t.content)]
