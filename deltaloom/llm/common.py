@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: ASCII white space and its complement, as the operator contracts spell them.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch that goes to Python; a longer row is a batch of its own.
+BATCH = 8 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -82,3 +84,16 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
         trim()
 
     return task
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow of a frugal ``run`` in batches of about BATCH bytes.
+
+    The session's limit is lowered where it is higher: a batch is in memory in the executor's and in Python's buffers,
+    several times over, for each core.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    had = conf.get(key).removesuffix("b")
+    if not had.isdigit() or not 0 < int(had) <= BATCH:
+        conf.set(key, f"{BATCH}b")
+    return df.mapInArrow(frugal(run), schema)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frugal, park, read, text_of, wide
+from .common import arrow_map, park, read, text_of, wide
 from .components import components
 from .shingles import SetSketch, shingle_sets
 
@@ -57,7 +57,7 @@ def sketched(df: DataFrame, id_col: str, text_col: str, registers: int = REGISTE
             yield pa.record_batch([b.column("id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())], names=["id", "n_shingles", "set_key", "registers"])
 
     narrow = df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    return narrow.mapInArrow(frugal(run), "id long, n_shingles long, set_key binary, registers binary")
+    return arrow_map(narrow, run, "id long, n_shingles long, set_key binary, registers binary")
 
 
 def band_keys(reps: DataFrame, band_rows: int) -> DataFrame:
@@ -74,7 +74,7 @@ def band_keys(reps: DataFrame, band_rows: int) -> DataFrame:
             rep = np.repeat(b.column("rep").to_numpy(), bands)
             yield pa.record_batch([pa.array(rep), pa.array(np.array(keys, np.uint64).view(np.int64))], names=["rep", "bucket"])
 
-    return reps.select("rep", "registers").mapInArrow(frugal(run), "rep long, bucket long")
+    return arrow_map(reps.select("rep", "registers"), run, "rep long, bucket long")
 
 
 def forest(sets: list[np.ndarray], regs: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int, sketch: SetSketch) -> list[tuple[int, int]]:
@@ -164,7 +164,7 @@ def confirmed(tasks: DataFrame, percent: int, registers: int = REGISTERS, width:
             yield solve(pa.Table.from_batches(pend))
 
     spread = tasks.repartition(wide(tasks.sparkSession), "k1", "k2", "k3").sortWithinPartitions("k1", "k2", "k3", "side", "rep")
-    return spread.mapInArrow(frugal(run), "u long, v long")
+    return arrow_map(spread, run, "u long, v long")
 
 
 def near_duplicates(df: DataFrame, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import frugal, park, read, text_of
+from .common import arrow_map, park, read, text_of
 from .units import encoder
 
 #: Rows of one remainder length that are ranked in one group; a more frequent length gets more groups.
@@ -146,7 +146,7 @@ def encode_documents(df: DataFrame, path: str, end_id: int, window: int, id_col:
             yield pa.record_batch(cols, names=["id", "rid", "part", "full_before", "doc_tokens", "full_crcs", "tail", "tail_len"])
 
     narrow = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    return narrow.mapInArrow(frugal(run), f"id {kind}, rid long, part int, full_before long, doc_tokens long, full_crcs array<long>, tail binary, tail_len int")
+    return arrow_map(narrow, run, f"id {kind}, rid long, part int, full_before long, doc_tokens long, full_crcs array<long>, tail binary, tail_len int")
 
 
 def pack(df: DataFrame, path: str, end_id: int, window: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,7 +206,7 @@ def pack(df: DataFrame, path: str, end_id: int, window: int = 1024, id_col: str
 
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    small = ranked.mapInArrow(frugal(place), schema)
+    small = arrow_map(ranked, place, schema)
 
     # Full windows: numbered after the packed ones, task by task.
     runs = docs.groupBy("part").agg(F.sum(F.size("full_crcs")).alias("n")).orderBy("part").collect()

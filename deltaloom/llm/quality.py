@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frugal, read, text_of
+from .common import arrow_map, read, text_of
 from .units import slices
 
 BUCKETS, SIZES, SAMPLE_ROWS, RANK, ROWS = 2048, 24, 6000, 8, 1024
@@ -165,7 +165,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
                     value.append(row[at[-1]])
             yield pa.record_batch([b.column("doc_id"), b.column("y"), pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], names=["doc_id", "y", "at", "value"])
 
-    got = sorted(rows.mapInArrow(frugal(run), "doc_id long, y int, at array<int>, value array<float>").collect())[:sample_rows]
+    got = sorted(arrow_map(rows, run, "doc_id long, y int, at array<int>, value array<float>").collect())[:sample_rows]
     x = np.zeros((len(got), FEATURES), np.float32)
     for i, r in enumerate(got):
         x[i, r.at] = r.value
@@ -181,11 +181,13 @@ def score(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
-            s = np.concatenate([np.zeros(0), *(m.score(x) for x in features(b.column("text")))])
-            yield pa.record_batch([*b.columns[:-1], pa.array(s)], names=[*(f"c{i}" for i in range(len(names))), "score"])
+            s = np.concatenate([np.zeros(0), *(m.score(x) for x in features(pc.fill_null(b.column(at), "")))])
+            yield pa.record_batch([*b.columns[: len(names)], pa.array(s)], names=[*(f"c{i}" for i in range(len(names))), "score"])
 
-    wanted = docs.select(*(docs[c].alias(f"c{i}") for i, c in enumerate(names)), text_of(text_col).alias("text"))
-    scored = wanted.mapInArrow(frugal(run), ", ".join(f"c{i} {t}" for i, t in enumerate(fields)) + ", score double")
+    # A text that is kept as it is goes to Python once.
+    at = names.index(text_col) if text_col in names and docs.schema[text_col].dataType.simpleString() == "string" else len(names)
+    wanted = docs.select(*(docs[c].alias(f"c{i}") for i, c in enumerate(names)), *([text_of(text_col).alias("text")] if at == len(names) else []))
+    scored = arrow_map(wanted, run, ", ".join(f"c{i} {t}" for i, t in enumerate(fields)) + ", score double")
     return scored.toDF(*names, "score" if "score" not in names else "_score")
 
 

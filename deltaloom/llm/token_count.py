@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frugal, read, text_of
+from .common import arrow_map, read, text_of
 from .units import Units
 
 
@@ -114,7 +114,7 @@ def count_tokens(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
     narrow = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     narrow = narrow.withColumn("n_bytes", F.octet_length("text").cast("long"))
-    out = narrow.mapInArrow(frugal(run), f"id {kind.simpleString()}, n_bytes long, n_tokens long")
+    out = arrow_map(narrow, run, f"id {kind.simpleString()}, n_bytes long, n_tokens long")
     return out.withColumnRenamed("id", id_col)
 
 

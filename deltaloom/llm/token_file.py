@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frugal, park, read, shared_path, text_of, wide
+from .common import arrow_map, park, read, shared_path, text_of, wide
 from .units import encoder, vocabulary_size
 
 MAGIC = b"DLTOKEN1"
@@ -160,7 +160,7 @@ def write_tokens(df: DataFrame, folder: str, path: str, end_id: int, id_col: str
 
     narrow = df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     ordered = narrow.repartitionByRange(wide(df.sparkSession), F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
-    return ordered.mapInArrow(frugal(run), "shard int, path string, n_docs long, n_ids long")
+    return arrow_map(ordered, run, "shard int, path string, n_docs long, n_ids long")
 
 
 def read_tokens(spark: SparkSession, manifest: DataFrame, checksums: bool = True) -> DataFrame:
@@ -184,7 +184,7 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, checksums: bool = True
                     yield pa.record_batch([pa.array(reader.doc_ids, pa.int64()), pa.array(reader.starts[:-1] + base), pa.array(n), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     listed = spark.createDataFrame(files, "path string, base long").repartition(max(1, len(files)), "path")
-    return listed.mapInArrow(frugal(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return arrow_map(listed, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
