@@ -124,12 +124,12 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def encode_documents(df: DataFrame, path: str, end_id: int, window: int, id_col: str, text_col: str) -> DataFrame:
+def encode_documents(df: DataFrame, path: str, end_id: int, window: int, id_col: str, text_col: str, memo: int) -> DataFrame:
     """Per row: where it stands in the task, its tokens, the checksums of its full windows and the ids of its remainder."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, row, before = encoder(path), TaskContext.get().partitionId(), 0, 0
+        encode, part, row, before = encoder(path, memo=memo), TaskContext.get().partitionId(), 0, 0
         for b in batches:
             rids, befores, tokens, fulls, tails, sizes = [], [], [], [], [], []
             for ids in encode(b.column("text")):
@@ -149,16 +149,17 @@ def encode_documents(df: DataFrame, path: str, end_id: int, window: int, id_col:
     return arrow_map(narrow, run, f"id {kind}, rid long, part int, full_before long, doc_tokens long, full_crcs array<long>, tail binary, tail_len int")
 
 
-def pack(df: DataFrame, path: str, end_id: int, window: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(df: DataFrame, path: str, end_id: int, window: int = 1024, id_col: str = "doc_id", text_col: str = "text", memo: int = 500_000) -> DataFrame:
     """Pieces: ``id_col``, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Documents are encoded once and written to the shared folder. The driver sees the length histogram, one row for
     each ranking group (window-1 and one for each GROUP_ROWS rows) and one for each task; the plan it sends out has a
-    number of records that depends on the window alone.
+    number of records that depends on the window alone. ``memo`` trades a worker's memory (some 150 MB at the default)
+    for time.
     """
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
-    docs = park(encode_documents(df, path, end_id, window, id_col, text_col), "encoded")
+    docs = park(encode_documents(df, path, end_id, window, id_col, text_col, memo), "encoded")
     tails = docs.where("tail_len > 0")
     histogram = {r.tail_len: r.n for r in tails.groupBy("tail_len").agg(F.count("*").alias("n")).collect()}
     records, n_packed = plan(histogram, window)

@@ -18,8 +18,10 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are laid out at once; a longer text is a slice of its own.
 SLICE = 4 << 20
-#: Units that the library encodes at once.
-LOT = 8192
+#: Bytes of text whose distinct units are looked up at once.
+LOOKUP = 8 << 20
+#: Units that the library encodes in one call, and in one text of that call.
+LOT, JOINED = 8192, 128
 
 
 class Memo:
@@ -47,18 +49,30 @@ class Memo:
         return got
 
 
-def slices(texts: pa.Array) -> Iterator[pa.Array]:
-    """The array in order, in slices of about SLICE bytes."""
+def slices(texts: pa.Array, size: int = SLICE) -> Iterator[pa.Array]:
+    """The array in order, in slices of about ``size`` bytes."""
     if not len(texts):
         return
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
         yield pa.concat_arrays([texts.slice(at, to - at)])  # a copy without offset: some Arrow kernels misread slices
         at = to
 
 
+def left_open(words: pa.LargeStringArray) -> np.ndarray:
+    """Whether each word is empty or ends in white space. The last byte settles it for most."""
+    end = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    out = end[1:] == end[:-1]
+    last = np.zeros(len(words), np.uint8)
+    last[~out] = data[end[1:][~out] - 1]
+    for i in np.flatnonzero((last <= 32) | (last > 127)).tolist():
+        out[i] = out[i] or words[i].as_py()[-1].isspace()
+    return out
+
+
 def joined(parts: list[str]) -> list[str]:
     """Units of a text whose split at spaces has parts that are empty or end in white space: these stay open to the next."""
     units, at = [], parts[0]
@@ -87,7 +101,7 @@ class Units:
         flat = parts.flatten()
         coded = flat.dictionary_encode()
         words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        open_ = np.array([not w or w[-1].isspace() for w in words], bool)
+        open_ = left_open(coded.dictionary)
         first = begin[:-1]
         units = [" " + w for w in words]
         head = {}  # the first part of a text has no space before it
@@ -116,7 +130,7 @@ class Units:
     def sums(self, texts: pa.Array) -> np.ndarray:
         """For numbers as values: their sum by text."""
         out = [np.zeros(0, np.int64)]
-        for s in slices(texts):
+        for s in slices(texts, LOOKUP):
             values, codes, begin = self.laid_out(s)
             total = np.concatenate([[0], np.cumsum(np.asarray(values, np.int64)[codes])])
             out.append(total[begin[1:]] - total[begin[:-1]])
@@ -124,7 +138,7 @@ class Units:
 
     def arrays(self, texts: pa.Array, kind: str) -> Iterator[np.ndarray]:
         """For bytes of ``kind`` as values: one array by text, in order."""
-        for s in slices(texts):
+        for s in slices(texts, LOOKUP):
             values, codes, begin = self.laid_out(s)
             ids = np.frombuffer(b"".join(values), kind)
             size = np.fromiter(map(len, values), np.int64, len(values)) // np.dtype(kind).itemsize
@@ -152,21 +166,42 @@ def library(path: str):
     return _loaded[path]
 
 
-def encoder(path: str, newline_splits: bool = False) -> Callable[[pa.Array], Iterator[np.ndarray]]:
+def encoder(path: str, newline_splits: bool = False, memo: int = 500_000) -> Callable[[pa.Array], Iterator[np.ndarray]]:
     """Texts -> for each its unsigned 16- or 32-bit ids, equal to the library's ids of the whole text.
 
-    ``newline_splits``: for a vocabulary that drops all white space.
+    ``newline_splits``: for a vocabulary that drops all white space. ``memo``: units in each generation of the memo.
     """
-    key = ("encoder", path, newline_splits)
+    key = ("encoder", path, newline_splits, memo)
     if key not in _loaded:
         tok = library(path)
         kind = id_type(tok.get_vocab_size(with_added_tokens=True))
 
-        def solve(units: list[str]) -> list[bytes]:
-            lots = (units[i : i + LOT] for i in range(0, len(units), LOT))  # the library's encodings are many times their ids
-            return [np.asarray(e.ids, kind).tobytes() for lot in lots for e in tok.encode_batch_fast(lot, add_special_tokens=False)]
+        def plain(units: list[str]) -> list[bytes]:
+            return [np.asarray(e.ids, kind).tobytes() for e in tok.encode_batch_fast(units, add_special_tokens=False)]
 
-        units = Units(solve, newline_splits=newline_splits)
+        # A special token splits the text before anything else looks at it, so units joined by one are encoded as if alone.
+        cut = next((i for i, t in tok.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.normalized or t.single_word)), None)
+        seam = None if cut is None else tok.id_to_token(cut)
+
+        def solve(units: list[str]) -> list[bytes]:
+            out = []
+            for i in range(0, len(units), LOT):  # the library's encodings are many times their ids
+                lot = units[i : i + LOT]
+                if seam is None or len(lot) < 2:
+                    out += plain(lot)
+                    continue
+                parts = [lot[j : j + JOINED] for j in range(0, len(lot), JOINED)]
+                for part, e in zip(parts, tok.encode_batch_fast([seam.join(x) for x in parts], add_special_tokens=False), strict=True):
+                    ids = np.asarray(e.ids, kind)
+                    ends = (np.flatnonzero(ids == cut) * ids.itemsize).tolist()
+                    if len(ends) != len(part) - 1:  # a unit holds that token's string
+                        out += plain(part)
+                        continue
+                    flat = ids.tobytes()
+                    out += [flat[a:b] for a, b in zip([0, *(x + ids.itemsize for x in ends)], [*ends, len(flat)], strict=True)]
+            return out
+
+        units = Units(solve, memo, newline_splits)
         odd = [t.content for t in tok.get_added_tokens_decoder().values() if any(c.isspace() for c in t.content)]
 
         def encode(texts: pa.Array) -> Iterator[np.ndarray]:
