@@ -46,7 +46,7 @@ def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 1024 tokens."""
     import public_tokenizers as P
 
-    return packing.pack(docs, P.path("byte_bpe_50k.json"), end_id=0, window=1024)
+    return packing.pack(docs, P.path("byte_bpe_50k.json"), end_id=0, window=1024, memo=150_000)  # workers still hold what earlier stages used
 
 
 STAGES = [("quality classifier", quality_stage), ("line dedup", line_stage), ("near dedup", near_stage), ("packing", pack_stage)]
