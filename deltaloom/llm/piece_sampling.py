@@ -31,9 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, text_of
+from .common import arrow_map, read, text_of
 
 MANY, MEMO = 64, 50_000
+#: Characters drawn before a batch of results is handed on.
+OUT = 1 << 20
 
 
 class Options:
@@ -185,28 +187,42 @@ def sampled_encodings(df: DataFrame, path: str, k: int, keys: list[str], text_co
         lattice = lattice_of(path, alpha)
         for b in batches:
             names = [b.column(f"k{i}").to_pylist() for i in range(len(keys))]
-            rows, out = [], []
-            for i, (text, *key) in enumerate(zip(b.column("text").to_pylist(), *names)):
+            texts = b.column("text").to_pylist()
+            rows, out, size = [], [], 0
+            for i, (text, *key) in enumerate(zip(texts, *names)):
                 got = sample(lattice, text, k, xxhash.xxh3_64_intdigest(json.dumps(key, default=str)))
                 rows += [i] * len(got)
                 out += [(r, *g, lattice.sp.decode(g[0])) for r, g in enumerate(got, 1)]
-            take = pa.array(rows, pa.int64())
-            kinds = (pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64(), pa.string())
-            yield pa.record_batch([*(b.column(f"k{i}").take(take) for i in range(len(keys))), *(pa.array([o[j] for o in out], t) for j, t in enumerate(kinds))], names=[*(f"k{i}" for i in range(len(keys))), "rank", "ids", "log_prob", "perturbed", "inclusion", "decoded"])
+                size += k * len(text)
+                if size < OUT and i + 1 < len(texts):
+                    continue
+                take = pa.array(rows, pa.int64())
+                kinds = (pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64(), pa.string())
+                yield pa.record_batch([*(b.column(f"k{i}").take(take) for i in range(len(keys))), *(pa.array([o[j] for o in out], t) for j, t in enumerate(kinds))], names=[*(f"k{i}" for i in range(len(keys))), "rank", "ids", "log_prob", "perturbed", "inclusion", "decoded"])
+                rows, out, size = [], [], 0
 
     narrow = df.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keys)), text_of(text_col).alias("text"))
-    out = narrow.mapInArrow(run, ", ".join(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(schema)) + ", rank int, ids array<int>, log_prob double, perturbed double, inclusion double, decoded string")
+    out = arrow_map(narrow, run, ", ".join(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(schema)) + ", rank int, ids array<int>, log_prob double, perturbed double, inclusion double, decoded string")
     return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keys)})
 
 
-def op9_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four segmentations of every conversation turn: subword sampling augments fine-tuning text, so that is its table."""
+def drawn(spark: SparkSession, sf_dir: str, table: str, keys: list[str]) -> DataFrame:
+    """Four segmentations of every text of a table."""
     import public_tokenizers as P
 
-    turns = read(spark, sf_dir, "conversations", "conv_id", "turn", "text")
-    out = sampled_encodings(turns, P.path("piece_bpe_32k.model"), 4, ["conv_id", "turn"])
-    return out.select("conv_id", "turn", "rank", F.size("ids").cast("long").alias("n_pieces"), F.crc32(F.concat_ws(",", F.transform("ids", lambda i: i.cast("string"))).cast("binary")).alias("ids_crc32"), "log_prob", "inclusion", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+    out = sampled_encodings(read(spark, sf_dir, table, *keys, "text"), P.path("piece_bpe_32k.model"), 4, keys)
+    return out.select(*keys, "rank", F.size("ids").cast("long").alias("n_pieces"), F.crc32(F.concat_ws(",", F.transform("ids", lambda i: i.cast("string"))).cast("binary")).alias("ids_crc32"), "log_prob", "inclusion", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+def op9_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, whole."""
+    return drawn(spark, sf_dir, "documents", ["doc_id"])
+
+
+def op9_turn_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation turn: subword sampling augments fine-tuning text."""
+    return drawn(spark, sf_dir, "conversations", ["conv_id", "turn"])
 
 
-QUERIES = {"op9_piece_sampling": op9_piece_sampling}
+QUERIES = {"op9_piece_sampling": op9_piece_sampling, "op9_turn_sampling": op9_turn_sampling}
 ORACLE_SQL: dict[str, str] = {}

@@ -319,6 +319,15 @@ def test_piece_sampling(spark, docs, empty):
     assert piece_sampling.sampled_encodings(empty, path, 3, ["doc_id"]).count() == 0
 
 
+def test_op9_takes_every_document_whole(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    sp = piece_sampling.lattice_of(P.path("piece_bpe_32k.model"), 1.0).sp
+    want = collections.Counter((d, hashlib.sha256(sp.decode(sp.encode(t or "")).encode()).hexdigest()) for d, t in docs.select("doc_id", "text").collect())
+    got = piece_sampling.QUERIES["op9_piece_sampling"](spark, str(tmp_path)).collect()
+    assert collections.Counter((r.doc_id, r.decoded_sha256) for r in got if r["rank"] == 1) == want
+    assert sum(r["rank"] == 4 and r.doc_id == TEXTS.index(LONG) for r in got) == 1
+
+
 def test_simhash(spark, docs, empty):
     rows = simhash.with_next(docs, "doc_id", "text", 3).where("not is_copy").collect()
     order = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
