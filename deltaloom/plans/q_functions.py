@@ -59,6 +59,12 @@ def _(t):
     return t.documents.select("doc_id", K.percent_encode(F.substring("text", 1, 40)).alias("enc"))
 
 
+@query("f10_percent_encode_whole", "SELECT doc_id, url_encode(text) AS enc FROM documents")
+def _(t):
+    """Whole texts; f10_percent_encode has the first 40 characters, as its SQL says."""
+    return t.documents.select("doc_id", K.percent_encode(c("text")).alias("enc"))
+
+
 @query("f11_valid_subject", "SELECT page_id, regexp_full_match(replace(url, '/', '.'), '[A-Za-z0-9_-]+([.][A-Za-z0-9_-]+)*') AS ok, regexp_full_match('a.' || page_id, '[A-Za-z0-9_-]+([.][A-Za-z0-9_-]+)*') AS ok2 FROM pages")
 def _(t):
     return t.pages.select("page_id", K.valid_subject(F.replace("url", F.lit("/"), F.lit("."))).alias("ok"), K.valid_subject(F.concat(F.lit("a."), c("page_id").cast("string"))).alias("ok2"))

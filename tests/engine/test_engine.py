@@ -2,6 +2,7 @@
 
 import datetime
 import json
+from urllib.parse import quote
 
 import duckdb
 import pytest
@@ -146,3 +147,10 @@ def test_json_and_times(spark):
     j = C.Join("a", ("id",), (C.Relation("b", "b", (("id", "id"),), ("x",), on_missing="empty_object"), C.Relation("b", "c", (("id", "id"),), ("x",))))
     t = {"a": spark.createDataFrame([(1,)], "id int"), "b": spark.createDataFrame([], "id int, x int")}
     assert json.loads(C.documents_json(C.compose(j, t), j).first().doc) == {"id": 1, "b": {}, "c": None}
+
+
+def test_percent_encode_takes_whole_texts(spark, tmp_path):
+    texts = {1: "ab ~*-._é☃\n" * 5000, 2: "", 3: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.enc for r in registry.QUERIES["f10_percent_encode_whole"](spark, str(tmp_path)).collect()}
+    assert got == {d: t if t is None else quote(t, safe="-._~") for d, t in texts.items()}
