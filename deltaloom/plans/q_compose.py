@@ -154,6 +154,12 @@ def _(t):
     return t.customer.join(wanted, "c_custkey").select("c_custkey", "c_name")
 
 
+@query("j23_batched_lookup_all", "SELECT k AS c_custkey, c_name FROM (SELECT DISTINCT o_custkey AS k FROM orders) JOIN customer ON c_custkey = k")
+def _(t):
+    wanted = t.orders.select(c("o_custkey").alias("c_custkey")).where("c_custkey is not null").distinct()
+    return t.customer.join(wanted, "c_custkey").select("c_custkey", "c_name")
+
+
 @query("j25_target_stamp", "SELECT 'orders-v2' AS target, count(*) AS n FROM orders")
 def _(t):
     return C.compose(C.Join("orders", ("o_orderkey",), target="orders-v2"), sides(t)).groupBy("target").agg(F.count("*").alias("n"))
@@ -226,6 +232,17 @@ def _(t):
     return t.orders.where("o_orderkey % 50 = 0").select(doc_id("orders", c("o_orderkey")).alias("doc_id")).join(F.broadcast(high))  # one row
 
 
+@query("j42_high_water_all", "SELECT 'orders:' || to_json([CAST(o_orderkey AS VARCHAR)]) AS doc_id, (SELECT max(event_id) FROM events) AS lsn FROM orders")
+def _(t):
+    high = t.events.agg(F.max("event_id").alias("lsn"))
+    return t.orders.select(doc_id("orders", c("o_orderkey")).alias("doc_id")).join(F.broadcast(high))  # one row
+
+
 @query("j22_backfill", "SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 25 = 0")
 def _(t):
     return C.compose(C.Join("orders", ("o_orderkey",), (CUSTOMER,)), sides(t), t.orders.where("o_orderkey % 25 = 0")).select("o_orderkey", c("customer.c_name").alias("c_name"))
+
+
+@query("j22_backfill_all", "SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
+def _(t):
+    return C.compose(C.Join("orders", ("o_orderkey",), (CUSTOMER,)), sides(t)).select("o_orderkey", c("customer.c_name").alias("c_name"))

@@ -77,6 +77,11 @@ def _(t):
     return t.events.where("event_id % 2 = 0").select("user_id").dropDuplicates(["user_id"])
 
 
+@query("g09_coalesced_poll_all", "SELECT DISTINCT user_id FROM events")
+def _(t):
+    return t.events.select("user_id").dropDuplicates(["user_id"])
+
+
 @query("g10_graph_tombstone", "SELECT 'supplier:s' || s_suppkey AS doc_id, 'delete' AS op FROM supplier WHERE s_suppkey % 9 = 0")
 def _(t):
     return t.supplier.where("s_suppkey % 9 = 0").select(F.concat(F.lit("supplier:s"), c("s_suppkey").cast("string")).alias("doc_id"), F.lit("delete").alias("op"))

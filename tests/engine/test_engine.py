@@ -154,3 +154,11 @@ def test_percent_encode_takes_whole_texts(spark, tmp_path):
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.enc for r in registry.QUERIES["f10_percent_encode_whole"](spark, str(tmp_path)).collect()}
     assert got == {d: t if t is None else quote(t, safe="-._~") for d, t in texts.items()}
+
+
+def test_all_orders_and_events_take_part(spark, duck):
+    n = lambda name: registry.QUERIES[name](spark, SF).count()
+    orders = duck.execute("select count(*) from orders").fetchone()[0]
+    assert n("j42_high_water_all") == n("j22_backfill_all") == orders
+    assert n("j23_batched_lookup_all") == duck.execute("select count(*) from customer where c_custkey in (select o_custkey from orders)").fetchone()[0]
+    assert n("g09_coalesced_poll_all") == duck.execute("select count(distinct user_id) from events").fetchone()[0]
