@@ -2,7 +2,7 @@
 
 Words are ``[a-z0-9]+`` of the lower-cased text. A template's words that a document has at all bound its coverage from
 above, which leaves few pairs to align. In these, every window (at most ``stretch`` times the template's length) whose
-words could reach the threshold is aligned: anchors are the words unique to both sides, the longest increasing
+words could reach the threshold is aligned, and of overlapping matches the best one counts: anchors are the words unique to both sides, the longest increasing
 subsequence of their places keeps order, and the gaps between anchors are aligned in the same way; a gap without
 anchors is closed by its longest common subsequence. Coverage is aligned words over template words.
 
@@ -116,27 +116,49 @@ class Scanner:
         out = []
         for name, t in self.templates.items():
             count = self.counts[name]
-            need = self.threshold * len(t)
-            if sum(count[w] for w in have if w in count) < need:
+            if sum(count[w] for w in have if w in count) < self.threshold * len(t):
                 continue
             at = [i for i, w in enumerate(words) if w in count]
-            span = int(self.stretch * len(t)) + 1
-            inside: Counter = Counter()
-            useful, hi, done = 0, 0, 0
-            for lo, first in enumerate(at):  # a window begins at each template word
-                while hi < len(at) and at[hi] < first + span:
-                    w = words[at[hi]]
-                    inside[w] += 1
-                    useful += inside[w] <= count[w]
-                    hi += 1
-                if useful >= need and first >= done:
-                    pairs = align(words[first : first + span], t)
-                    if len(pairs) >= need:
-                        done = first + pairs[-1][0] + 1
-                        out.append((name, len(pairs) / len(t), first + pairs[0][0], done))
-                w = words[first]
-                useful -= inside[w] <= count[w]
-                inside[w] -= 1
+            out += [(name, n / len(t), first, end) for n, first, end in self.matches(words, at, t, count, 0, len(words))]
+        return out
+
+    def matches(self, words: list[str], at: list[int], t: list[str], count: Counter, begin: int, stop: int) -> list[tuple[int, int, int]]:
+        """(aligned words, first word, last word + 1) of the matches among the words from begin to stop.
+
+        Of overlapping matches the one of best coverage counts, of equal ones the first; the words that it leaves before
+        it are searched again.
+        """
+        need, span = self.threshold * len(t), int(self.stretch * len(t)) + 1
+        at = at[bisect_left(at, begin) : bisect_left(at, stop)]
+        out: list[tuple[int, int, int]] = []
+        inside: Counter = Counter()
+        useful, hi, opened = 0, 0, 0
+        best: tuple[int, int, int] | None = None
+
+        def close() -> None:
+            if best[1] - opened >= need:
+                out.extend(self.matches(words, at, t, count, opened, best[1]))
+            out.append(best)
+
+        for first in at:  # a window begins at each template word
+            if best and first >= best[2]:
+                close()
+                best = None
+            while hi < len(at) and at[hi] < first + span:
+                w = words[at[hi]]
+                inside[w] += 1
+                useful += inside[w] <= count[w]
+                hi += 1
+            if useful >= need and (not best or useful > best[0]):
+                pairs = align(words[first : min(first + span, stop)], t)
+                if len(pairs) >= need and (not best or len(pairs) > best[0]):
+                    opened = opened if best else first
+                    best = (len(pairs), first + pairs[0][0], first + pairs[-1][0] + 1)
+            w = words[first]
+            useful -= inside[w] <= count[w]
+            inside[w] -= 1
+        if best:
+            close()
         return out
 
 

@@ -99,6 +99,22 @@ def test_license_scan(spark, docs, empty):
     assert license_scan.license_spans(empty).count() == 0
 
 
+def test_license_scan_takes_the_best_of_overlapping_windows():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, 0.85)
+    apache = license_scan.TEMPLATES["Apache-2.0"]
+    assert scanner.spans(f"the ershti thatan ndlysh eronblent in {apache}") == [("Apache-2.0", 1.0, 6, 14)]
+    for name in ("MIT-text", "GPL-3.0-header", "BSD-2-Clause-text"):
+        t = license_scan.TEMPLATES[name]
+        n = len(license_scan.WORDS.findall(t.lower()))
+        for stray in range(1, 40):  # words of the template this far before it
+            prose = " ".join("the" if i % stray == 0 else f"zq{i}" for i in range(100))
+            got = [s for s in scanner.spans(f"{prose} {t} {prose}") if s[0] == name]
+            assert len(got) == 1 and got[0][1] == 1.0 and got[0][3] >= 100 + n, (name, stray, got)
+    broken = " ".join(w for i, w in enumerate(license_scan.TEMPLATES["MIT-text"].split()) if i % 12)
+    got = scanner.spans(f"{broken} {license_scan.TEMPLATES['MIT-text']}")
+    assert len(got) == 2 and 0.85 <= got[0][1] < 1 and got[1][1] == 1.0 and got[0][3] <= got[1][2]
+
+
 def test_patience_pairs_are_increasing_and_equal():
     r = random.Random(4)
     for _ in range(200):
