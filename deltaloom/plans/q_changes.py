@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import doc_id
 from ..operators import changelog as L
+from ..operators import compose as C
 from ..operators.reconcile import schema_drift
 from ..sources import changes as S
 from .registry import query
@@ -56,6 +57,18 @@ for _name in ("s09_partial_update", "j13_primary_merge", "j14_related_merge"):
     query(_name, PARTIAL)(partial)
 
 
+@query("j14_related_merge_compose", "SELECT 'customer:' || to_json([CAST(c_custkey AS VARCHAR)]) AS doc_id, coalesce(string_agg(user_id || '-' || a, ',' ORDER BY user_id), '') AS related FROM customer LEFT JOIN (SELECT user_id, arg_max(event_type, event_id) AS a, arg_max_null(CASE WHEN event_id % 6 = 0 THEN NULL ELSE event_id % 100 END, event_id) FILTER (WHERE event_id % 3 = 0) AS fk FROM events GROUP BY user_id) ON fk = c_custkey GROUP BY c_custkey")
+def _(t):
+    """Related rows are merged first; the foreign key, sent in every third change and there sometimes null, is the merged row's."""
+    fk = F.when(c("event_id") % 6 != 0, (c("event_id") % 100).cast("string"))
+    row = F.when(c("event_id") % 3 == 0, F.create_map(F.lit("a"), c("event_type"), F.lit("fk"), fk)).otherwise(F.create_map(F.lit("a"), c("event_type")))
+    merged = L.merge_present(t.events.withColumn("row", row), ["user_id"], "event_id")
+    related = merged.select("user_id", F.try_element_at("row", F.lit("a")).alias("a"), F.try_element_at("row", F.lit("fk")).alias("fk"))
+    join = C.Join("customer", ("c_custkey",), (C.Relation("related", "related", (("c_custkey", "fk"),), ("user_id", "a"), many=True, sort_by="user_id"),))
+    docs = C.compose(join, {"customer": t.customer, "related": related})
+    return docs.select("doc_id", F.array_join(F.transform("related", lambda x: F.concat_ws("-", x["user_id"].cast("string"), x["a"])), ",").alias("related"))
+
+
 @query("s10_key_relocation", "SELECT event_id, 'u:' || user_id AS doc_id, CASE event_type WHEN 'error' THEN 'delete' ELSE 'upsert' END AS action FROM events UNION ALL SELECT event_id, 'u:' || (user_id + 1000), 'delete' FROM events WHERE event_id % 10 = 0")
 def _(t):
     new = F.concat(F.lit("u:"), c("user_id").cast("string"))

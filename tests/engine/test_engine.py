@@ -162,3 +162,12 @@ def test_all_orders_and_events_take_part(spark, duck):
     assert n("j42_high_water_all") == n("j22_backfill_all") == orders
     assert n("j23_batched_lookup_all") == duck.execute("select count(*) from customer where c_custkey in (select o_custkey from orders)").fetchone()[0]
     assert n("g09_coalesced_poll_all") == duck.execute("select count(distinct user_id) from events").fetchone()[0]
+
+
+def test_related_rows_join_by_their_merged_key(spark, tmp_path):
+    spark.createDataFrame([(3,), (9,)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    # user 1 moves from 3 to 9 and keeps it in a change without the key; user 2 sets it to null; user 3 never has one
+    changes = [(3, 1, "x"), (9, 1, "y"), (10, 1, "z"), (103, 2, "x"), (303, 2, "x"), (306, 2, "y"), (4, 3, "x"), (603, 4, "w")]
+    spark.createDataFrame(changes, "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.doc_id: r.related for r in registry.QUERIES["j14_related_merge_compose"](spark, str(tmp_path)).collect()}
+    assert got == {'customer:["3"]': "4-w", 'customer:["9"]': "1-z"}
