@@ -1,9 +1,10 @@
 """Line dedup with DataFrame functions only.
 
 A row's lines become key hashes in place. Each key goes once per row, with its first position, to range partitions of
-(hash, document), sorted by hash, document and position; because the range key ends in the document, a key that a
-third of all lines share is spread over many partitions. Streaming over that order gives each key's first occurrence
-and number of documents, pre-aggregated in its partition before the small exchange by hash. Keys found in enough
+(hash, document); because the range key ends in the document, a key that a third of all lines share is spread over
+many partitions. Aggregation replaces a sorted stream: Spark drops the sort asked for below, as only minima and counts
+follow it, so a hash aggregate of minima gives each key's first occurrence and number of documents, pre-aggregated in
+its partition before the small exchange by hash. Keys found in enough
 documents go back to the rows they touch, and each row gets a compressed bitmap of the lines it keeps; text is neither
 shuffled nor returned by the operator.
 
@@ -56,7 +57,7 @@ def hashed_rows(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> Da
 
 
 def line_stats(rows: DataFrame) -> DataFrame:
-    """key, n_docs, first_id, first_pos over all rows: the range-partitioned stream described above."""
+    """key, n_docs, first_id, first_pos over all rows, by the aggregation described above."""
     once = rows.select("id", F.array_distinct("keys").alias("d"), "keys").select("id", "keys", F.explode("d").alias("key")).where("key is not null")
     placed = once.select("key", "id", F.array_position("keys", F.col("key")).cast("long").alias("pos"))
     ranged = placed.repartitionByRange(wide(rows.sparkSession), "key", "id").sortWithinPartitions("key", "id", "pos")
