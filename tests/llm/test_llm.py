@@ -405,3 +405,73 @@ def test_pipeline(spark, tmp_path):
     assert sorted(r[0] for r in single if r[0] is not None) == sorted(want)
     check_pieces(c.STAGES[3][1](spark, steps[3], str(tmp_path)).collect(), [r[:2] for r in single], 1024)
     assert c.run(spark, str(tmp_path)).count() > 0
+
+
+def brute_prints(spark, texts):
+    """Fingerprints by counting votes bit by bit; only the terms' hashes come from Spark."""
+    def terms(t):
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)) if x]
+        return [*zip(w, [*w[1:], None])]
+
+    all_ = sorted({x for t in texts for x in terms(t)}, key=str)
+    hashed = spark.createDataFrame(all_, "a string, b string").select("a", "b", F.xxhash64("a", "b").alias("h"), F.xxhash64(F.lit(7), F.col("a"), F.col("b")).alias("l")).collect()
+    value = {(r.a, r.b): (r.h % 2**64) << 64 | r.l % 2**64 for r in hashed}
+    out = []
+    for t in texts:
+        own = [value[x] for x in terms(t)]
+        out.append(sum(1 << i for i in range(128) if 2 * sum(v >> i & 1 for v in own) > len(own)))
+    return out
+
+
+@pytest.mark.parametrize("partitions", [3, 211, 2000])
+def test_simhash_query_against_brute_force(spark, tmp_path, partitions):
+    r = random.Random(5)
+    base = " ".join(r.choice(["ab", "cd", "Ef", "gh", "i"]) + str(r.randint(0, 40)) for _ in range(160))
+    texts = [base + " " + " ".join(r.choice("xyz") for _ in range(r.randint(0, 2))) for _ in range(40)] + [base] * 5 + [None, "", "é" * 7, "one"] + [" ".join(r.choice(["u", "v", "w", "t"]) for _ in range(r.randint(1, 30))) for _ in range(50)]
+    r.shuffle(texts)
+    ids = [i * 50 for i in range(len(texts))]
+    spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    had = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        ordered = simhash.with_next(spark.read.parquet(str(tmp_path / "documents.parquet")), "doc_id", "text", 4 * partitions).where("not is_copy").select("id", "next_text").collect()
+        if partitions < 2000:
+            got = {x.doc_id: x for x in simhash.op10_simhash(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", had)
+    full = [t or "" for t in texts]
+    after = [full[i - 1] for i in range(len(full))]  # descending ids; the smallest sees the largest
+    assert dict(map(tuple, ordered)) == dict(zip(ids, after))
+    if partitions == 2000:
+        return  # the limits are what grows with the partitions
+    edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(full, after)]
+    own, changed = brute_prints(spark, full), brute_prints(spark, edited)
+    like = lambda a, b: 1 - (a ^ b).bit_count() / 128
+    assert len(got) == len(ids)
+    for i, k in enumerate(ids):
+        x = got[k]
+        assert (x.n_chars, x.edited_sha256) == (len(full[i]), hashlib.sha256(edited[i].encode()).hexdigest())
+        assert (x.fingerprint, x.edited_fingerprint) == (f"{own[i]:032x}", f"{changed[i]:032x}")
+        assert (x.near_edited, x.near_next) == (like(own[i], changed[i]), like(own[i], own[i - 1]))
+        assert x.n_near == (sum(0 < (own[i] ^ o).bit_count() <= simhash.RADIUS for o in set(own)) if k % 100 == 0 else None)
+    assert any(x.n_near for x in got.values())
+
+
+def test_simhash_search_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "GROUP", 7)  # one block value of many groups
+    r = random.Random(6)
+    own = {(5 << 64) + sum(1 << r.randrange(30) for _ in range(2)) for _ in range(200)}
+    sign = lambda v: v - 2**64 if v >> 63 else v
+    df = spark.createDataFrame([(sign(v >> 64), sign(v % 2**64)) for v in own], "hi long, lo long")
+    asked = df.where("lo % 4 = 0")
+    want = {v: n for v in own if v % 4 == 0 and (n := sum(0 < (v ^ o).bit_count() <= 3 for o in own))}
+    assert {(x.hi % 2**64) << 64 | x.lo % 2**64: x.n_near for x in simhash.near_counts(df, asked, 3).collect()} == want
+
+
+@pytest.mark.parametrize("ids", [[None, None, None], [None, 4, 4, 2, None], [7]])
+def test_simhash_order_of_null_and_repeated_ids(spark, ids):
+    texts = [chr(97 + i) for i in range(len(ids))]
+    rows = simhash.with_next(spark.createDataFrame(list(zip(ids, texts)), "k long, text string"), "k", "text", 5).where("not is_copy").collect()
+    order = sorted(zip(ids, texts), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    want = sorted((order[i][1], order[(i + 1) % len(order)][1]) for i in range(len(order)))
+    assert sorted((x.text, x.next_text) for x in rows) == want
