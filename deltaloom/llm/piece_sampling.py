@@ -2,13 +2,17 @@
 
 A text's segmentations are the paths of the lattice of its pieces, weighted by the product of piece weights; suffix
 sums normalise them. Gumbel top-k: the k distinct segmentations with the largest Gumbel-perturbed log probability,
-found by perturbed A-star search. A node of the search is a set of paths (a fixed prefix and the choices already taken
-at the next step); its priority is the largest perturbed value in it, drawn as one truncated Gumbel. Popping a node
-yields its best path and splits the rest of the node into one new node for each later step, so k paths take k passes
-over the text. The inclusion score of a path is 1 - exp(-exp(log p - kappa)), kappa the (k+1)-th perturbed value (1 if
-there are no more than k paths). Draws are seeded by the row's key, so a row gives the same result wherever it runs.
-
-A step is a whole word's segmentation, from a memo of bounded size, or one piece of a word that has too many.
+found by perturbed A-star search. A node of the search is a set of paths (a fixed prefix of words and the
+segmentations already taken at the next word); its priority is the largest perturbed value in it, drawn as one
+truncated Gumbel. Popping a node draws its best path and splits the rest of the node into one new node for each later
+word. The inclusion score of a path is 1 - exp(-exp(log p - kappa)), kappa the (k+1)-th perturbed value (1 if there
+are no more than k paths). Draws are hashes of the row's key, the path and the place, so a row gives the same result
+wherever it runs.
+
+All of it runs on the arrays of a slice of texts at once: the lattice of the slice's distinct words is built by a trie
+walk over all their characters, a path is drawn for all words of all texts step by step, and each round pops one node
+of every text. A new node's value is at most the log probability of its prefix plus the largest Gumbel number that the
+generator can give, so nodes behind that bound cannot be popped and are not drawn.
 Weights: a unigram model's scores; for a BPE model -log(rank + 1), both times ``alpha``.
 
 Defined cases: null and empty texts have the one empty segmentation; characters outside the vocabulary go to their
@@ -18,39 +22,61 @@ further columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 import json
-import re
-from bisect import bisect_right
 from collections.abc import Iterator
-from math import exp, log
+from dataclasses import dataclass
+from math import log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, read, text_of
+from .shingles import mix
+from .units import slices
+
+_U = np.uint64
+#: Bytes of text that are sampled at once; new nodes of a path that are drawn at once.
+SLICE, AHEAD = 2 << 20, 64
+#: The largest number that ``gumbel`` gives is below this.
+TOP = 36.75
+_PLACE, _STEP, _PATH = (np.array([x], _U) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+
+
+def uniform(x: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) of 52 bits from unsigned 64-bit counters."""
+    return ((mix(x) >> _U(12)).astype(np.float64) + 0.5) * 2.0**-52
+
 
-MANY, MEMO = 64, 50_000
-#: Characters drawn before a batch of results is handed on.
-OUT = 1 << 20
+def gumbel(x: np.ndarray) -> np.ndarray:
+    return -np.log(-np.log(uniform(x)))
 
 
-class Options:
-    """The choices of a step: cumulative and log probabilities, ids of each, and where each leads (None: the next word)."""
+def spans(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The whole numbers of all ranges begin..end-1, one range after the other."""
+    n = end - begin
+    last = np.cumsum(n)
+    return np.arange(last[-1] if len(n) else 0) + np.repeat(begin - (last - n), n)
 
-    __slots__ = ("cumulative", "ids", "logp", "rest", "to")
 
-    def __init__(self, weights: list[float], ids: list[tuple[int, ...]], to: list[int | None]):
-        w = np.exp(np.array(weights) - max(weights))
-        p = w / w.sum()
-        self.cumulative = np.cumsum(p).tolist()
-        self.cumulative[-1] = 1.0
-        self.logp = np.log(p).tolist()
-        self.rest = [log(r) if (r := 1 - x) > 1e-12 else -np.inf for x in p.tolist()]
-        self.ids, self.to = ids, to
+@dataclass
+class Graph:
+    """The lattices of words, one node for each character. Edges of node i: first[i]..first[i+1]-1, the longest first.
+
+    ``to`` is the node after an edge (-1: the word ends), ``p`` its probability given the node, ``others`` that of the
+    node's other edges (as a sum, so that little is not lost beside 1), ``symbol`` its piece or the vocabulary's size plus the character that goes to several bytes or to <unk>.
+    """
+
+    start: np.ndarray
+    first: np.ndarray
+    to: np.ndarray
+    symbol: np.ndarray
+    p: np.ndarray
+    logp: np.ndarray
+    others: np.ndarray
 
 
 class Lattice:
@@ -58,116 +84,380 @@ class Lattice:
         import sentencepiece
 
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = sp.vocab_size()
+        self.size = n = sp.vocab_size()
         plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         ranks = all(float(sp.get_score(i)).is_integer() for i in plain)  # a BPE model's scores are negative ranks
-        self.pieces = {sp.id_to_piece(i): (i, alpha * (-log(1 - sp.get_score(i)) if ranks else sp.get_score(i))) for i in plain}
-        self.bytes = {sp.id_to_piece(i): i for i in range(n) if sp.is_byte(i)}
-        self.far = min(w for _, w in self.pieces.values()) - 10 * alpha
-        self.longest = max(map(len, self.pieces))
-        self.inner = any("▁" in p.lstrip("▁") for p in self.pieces)
-        self.split = re.compile("▁*[^▁]+|▁+")
-        self.memo: dict = {}
-
-    def edges(self, word: str, i: int) -> list[tuple[int, tuple[int, ...], float]]:
-        """(end, ids, weight) of the pieces that begin at i; a character without a piece goes to bytes."""
+        self.weight = np.zeros(n)
+        for i in plain:
+            self.weight[i] = alpha * (-log(1 - sp.get_score(i)) if ranks else sp.get_score(i))
+        self.far = self.weight[plain].min() - 10 * alpha
+        self.weight[[i for i in range(n) if sp.is_byte(i)]] = self.far
+        self.bytes = {int(sp.id_to_piece(i)[1:-1], 16): i for i in range(n) if sp.is_byte(i)}
+        pieces = {sp.id_to_piece(i): i for i in plain}
+        self.longest = max(map(len, pieces))
+        self.inner = any("▁" in p.lstrip("▁") for p in pieces)
+        self.feeds = not any("\n" in p and len(p) > 1 for p in pieces)
+        # The trie of the pieces: the state after a first character, then sorted keys (state, character).
+        states: dict[tuple[int, int], int] = {}
+        ends: dict[int, int] = {}
+        for p, i in pieces.items():
+            at = -1
+            for c in p:
+                at = states.setdefault((at, ord(c)), len(states))
+            ends[at] = i
+        self.root = np.full(0x110000, -1, np.int32)
+        keys = np.array([(s + 1) << 21 | c for s, c in states], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.next = keys[order], np.arange(len(keys), dtype=np.int32)[order]
+        for (s, c), at in states.items():
+            if s < 0:
+                self.root[c] = at
+        self.piece = np.full(len(states), -1, np.int32)
+        self.piece[list(ends)] = list(ends.values())
+        # What an id decodes to, as bytes; ids whose text depends on others or that have none are left to the library.
+        value = {i: b for b, i in self.bytes.items()}
+        self.plain = np.zeros(n, bool)
+        self.plain[[*plain, *self.bytes.values()]] = True
+        self.texts = pa.array([bytes([value[i]]) if i in value else sp.id_to_piece(i).replace("▁", " ").encode() for i in range(n)], pa.binary())
+
+    def graph(self, words: list[str]) -> Graph:
+        flat = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        end = np.cumsum(size)
+        stop = np.repeat(end, size)
+        n = len(flat)
+        source, symbol = [], []  # by length, from 1
+        single = np.array([self.bytes.get(c, self.size + c) if self.bytes else self.size + c for c in range(128)], np.int64)
+        at, state = np.arange(n), self.root[flat]
+        for length in range(1, self.longest + 1):
+            live = state >= 0
+            at, state = at[live], state[live]
+            piece = self.piece[state]
+            here = at[piece >= 0]
+            symbols = piece[piece >= 0].astype(np.int64)
+            if length == 1:
+                alone = np.ones(n, bool)
+                alone[here] = False
+                alone = np.flatnonzero(alone)
+                here, symbols = np.concatenate([here, alone]), np.concatenate([symbols, np.where(flat[alone] < 128, single[flat[alone] & 127], self.size + flat[alone])])
+            source.append(here)
+            symbol.append(symbols)
+            more = at + length < stop[at]
+            at, state = at[more], state[more]
+            if not len(at):
+                break
+            key = (state.astype(np.int64) + 1) << 21 | flat[at + length]
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            state = np.where(self.keys[place] == key, self.next[place], -1)
+        count = np.zeros(n, np.int64)
+        for here in source:
+            count[here] += 1
+        first = np.concatenate([[0], np.cumsum(count)])
+        out_symbol, to = np.zeros(first[-1], np.int64), np.zeros(first[-1], np.int64)
+        filled = first[:-1].copy()
+        for length in range(len(source), 0, -1):
+            here = source[length - 1]
+            out_symbol[filled[here]], to[filled[here]] = symbol[length - 1], here + length
+            filled[here] += 1
+        w = self.weight[np.minimum(out_symbol, self.size - 1)]
+        if len(odd := np.flatnonzero(out_symbol >= self.size)):
+            c = out_symbol[odd] - self.size
+            w[odd] = self.far * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF) if self.bytes else 1)
+        # Suffix sums, node by node from each place that no piece crosses.
+        crossed = np.zeros(n + 1, np.int64)
+        for length in range(2, len(source) + 1):
+            crossed[:n] += np.bincount(source[length - 1] + 1, minlength=n + 1)[:n]
+            crossed -= np.bincount(source[length - 1] + length, minlength=n + 1)
+        cut = np.flatnonzero(np.cumsum(crossed) == 0)
+        nodes = np.arange(n)
+        far = cut[np.searchsorted(cut, nodes, "right")] - nodes if n else nodes
+        is_cut = np.zeros(n + 1, bool)
+        is_cut[cut] = True
+        suffix, logp = np.zeros(n + 1), np.zeros(first[-1])
+        most = int(far.max(initial=0))
+        order = np.argsort(far.astype(np.uint16) if most < 1 << 16 else far, kind="stable")
+        bound = np.concatenate([[0], np.cumsum(np.bincount(far, minlength=most + 1))])
+        for d in range(1, most + 1):
+            here = order[bound[d] : bound[d + 1]]
+            if not len(here):
+                continue
+            e = spans(first[here], first[here + 1])
+            k = first[here + 1] - first[here]
+            begin = np.cumsum(k) - k
+            v = w[e] + np.where(is_cut[to[e]], 0.0, suffix[to[e]])
+            top = np.maximum.reduceat(v, begin)
+            suffix[here] = total = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, k)), begin))
+            logp[e] = v - np.repeat(total, k)
+        to[to == np.repeat(stop, count)] = -1
+        p = np.exp(logp)
+        top = np.maximum.reduceat(p, first[:-1]) if n else p
+        low = np.where(p == np.repeat(top, count), 0.0, p)
+        rest, ties = (np.add.reduceat(x, first[:-1]) if n else p for x in (low, (low == 0) * p))
+        others = np.repeat(rest, count) + np.where(low == 0, np.repeat(ties - top, count), np.repeat(ties, count) - p)
+        return Graph(end - size, first, to, out_symbol, p, logp, others)
+
+    def words(self, norms: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct words of normalised texts, each text's words as positions in them, and where texts begin."""
+        if self.inner:
+            coded = pa.array([x for x in norms if x], pa.large_string()).dictionary_encode()
+            begin = np.concatenate([[0], np.cumsum([bool(x) for x in norms])]).astype(np.int64)
+            return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), begin
+        texts = pa.array(norms, pa.large_string())
+        mark = next(c for c in map(chr, (*range(0xFDD0, 0xFDF0), *range(0xE000, 0xF900), *range(0xF0000, 0x10FFFE))) if not any(c in x for x in norms))
+        texts = pc.replace_substring(texts, "▁", mark + "▁")
+        for _ in range(2):  # a run of blanks stays with the word after it
+            texts = pc.replace_substring(texts, "▁" + mark + "▁", "▁▁")
+        if self.feeds:
+            texts = pc.replace_substring(texts, "\n", mark + "\n" + mark)
+        parts = pc.split_pattern(texts, mark)
+        begin = parts.offsets.to_numpy().astype(np.int64)
+        begin = begin - begin[0]
+        coded = parts.flatten().dictionary_encode()
+        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        if "" in words:
+            nil = words.index("")
+            keep = codes != nil
+            begin = np.concatenate([[0], np.cumsum(keep)])[begin]
+            codes = codes[keep]
+            codes -= codes > nil
+            del words[nil]
+        return words, codes, begin
+
+    def ids(self, symbols: np.ndarray) -> np.ndarray:
+        """Piece ids of a path's symbols."""
+        if not (symbols >= self.size).any():
+            return symbols
+        out = []
+        for s in symbols.tolist():
+            if s < self.size:
+                out.append(s)
+            else:
+                out += [self.bytes[b] for b in chr(s - self.size).encode()] if self.bytes else [self.sp.unk_id()]
+        return np.array(out, np.int64)
+
+    def decoded(self, paths: list[np.ndarray]) -> list[str]:
+        """The texts of paths of ids, as the library decodes them."""
+        flat = np.concatenate([np.zeros(0, np.int64), *paths])
+        ends = np.cumsum([0, *map(len, paths)])
+        taken = self.texts.take(pa.array(flat))
+        offset = np.frombuffer(taken.buffers()[1], np.int32, len(taken) + 1)
+        data = (taken.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
+        odd = np.concatenate([[0], np.cumsum(~self.plain[flat])])[ends]
         out = []
-        for j in range(i + 1, min(len(word), i + self.longest) + 1):
-            if got := self.pieces.get(word[i:j]):
-                out.append((j, (got[0],), got[1]))
-        if not out or out[0][0] > i + 1:
-            data = word[i].encode("utf-8", "replace")
-            ids = tuple(self.bytes[f"<0x{x:02X}>"] for x in data) if self.bytes else (self.sp.unk_id(),)
-            out.append((i + 1, ids, self.far * len(ids)))
+        for i, ids in enumerate(paths):
+            try:
+                if odd[i + 1] > odd[i]:
+                    raise UnicodeError
+                out.append(data[offset[ends[i]] : offset[ends[i + 1]]].decode().removeprefix(" "))
+            except UnicodeError:
+                out.append(self.sp.decode(ids.tolist()))
         return out
 
-    def steps(self, word: str) -> list[Options]:
-        """Options by position: only position 0 if the word's segmentations are few enough to list."""
-        if (got := self.memo.get(word)) is not None:
-            return got
-        n = len(word)
-        edges = [self.edges(word, i) for i in range(n)]
-        paths, suffix = [1] * (n + 1), [0.0] * (n + 1)
-        for i in range(n - 1, -1, -1):
-            paths[i] = min(MANY + 1, sum(paths[j] for j, _, _ in edges[i]))
-            v = [w + suffix[j] for j, _, w in edges[i]]
-            top = max(v)
-            suffix[i] = top + log(sum(exp(x - top) for x in v))
-        if paths[0] <= MANY:
-            open_, done = [(0, (), 0.0)], []
-            while open_:
-                i, ids, w = open_.pop()
-                for j, more, x in edges[i]:
-                    (done if j == n else open_).append((j, ids + more, w + x))
-            done.sort(key=lambda d: d[1])
-            got = [Options([d[2] for d in done], [d[1] for d in done], [None] * len(done))]
-        else:
-            got = [Options([w + suffix[j] for j, _, w in e], [ids for _, ids, _ in e], [None if j == n else j for j, _, _ in e]) for e in edges]
-        if n <= 64:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[word] = got
-        return got
-
-    def words(self, text: str) -> list[str]:
-        norm = self.sp.normalize(text)
-        return [norm] if self.inner and norm else self.split.findall(norm)
+
+def walked(g: Graph, word: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A path through each word: its edges one word after the other, where each word's begin, log p and 1 - p."""
+    token, node, logp, left = np.arange(len(word)), g.start[word], np.zeros(len(word)), np.zeros(len(word))
+    tokens, edges = [], []
+    while len(token):
+        u = uniform(base[token] + _STEP * _U(len(edges)))
+        e, last = g.first[node], g.first[node + 1] - 1
+        p = g.p[e]
+        on = np.flatnonzero((u >= p) & (e < last))
+        rest, p, last = u[on], p[on], last[on]
+        while len(on):
+            rest = rest - p
+            e[on] += 1
+            p = g.p[e[on]]
+            go = (rest >= p) & (e[on] < last)
+            on, rest, p, last = on[go], rest[go], p[go], last[go]
+        left[token] += np.exp(logp[token]) * g.others[e]
+        logp[token] += g.logp[e]
+        tokens.append(token)
+        edges.append(e)
+        node = g.to[e]
+        live = node >= 0
+        token, node = token[live], node[live]
+    count = np.bincount(np.concatenate(tokens), minlength=len(word)) if tokens else np.zeros(0, np.int64)
+    begin = np.concatenate([[0], np.cumsum(count)])
+    flat = np.zeros(begin[-1], np.int64)
+    for i, (t, e) in enumerate(zip(tokens, edges, strict=True)):
+        flat[begin[t] + i] = e
+    return flat, begin, logp, left
+
+
+class Untaken:
+    """What a word's paths leave when those in ``taken`` are gone: ``left``, its probability, and draws from it."""
+
+    def __init__(self, g: Graph, node: int, taken: list[tuple[int, ...]]):
+        self.g, self.node, self.next = g, [node], [{}]  # a trie of the taken paths
+        for path in taken:
+            at = 0
+            for e in path:
+                if e not in self.next[at]:
+                    self.next[at][e] = len(self.node)
+                    self.node.append(int(g.to[e]))
+                    self.next.append({})
+                at = self.next[at][e]
+        self.mass = [0.0] * len(self.node)
+        for at in reversed(range(len(self.node))):
+            self.mass[at] = sum(self.weights(at)) if self.node[at] >= 0 else 0.0
+        self.left = self.mass[0]
+
+    def weights(self, at: int) -> list[float]:
+        a, b = int(self.g.first[self.node[at]]), int(self.g.first[self.node[at] + 1])
+        p = self.g.p[a:b].tolist()
+        for e, to in self.next[at].items():
+            p[e - a] *= self.mass[to]
+        return p
+
+    def draw(self, base: np.ndarray) -> tuple[tuple[int, ...], float]:
+        """A path and its log probability among all paths of the word."""
+        g, path, us, at, node = self.g, [], [], 0, self.node[0]
+        while node >= 0:
+            if not us:
+                us = uniform(base + _STEP * np.arange(len(path), len(path) + 64, dtype=_U)).tolist()[::-1]
+            a, b = int(g.first[node]), int(g.first[node + 1])
+            p = g.p[a:b].tolist() if at is None else self.weights(at)
+            u, e = us.pop() * sum(p), 0
+            while e + 1 < len(p) and u >= p[e]:
+                u -= p[e]
+                e += 1
+            while not p[e]:
+                e -= 1
+            path.append(a + e)
+            at = None if at is None else self.next[at].get(a + e)
+            node = int(g.to[a + e])
+        return tuple(path), float(g.logp[path].sum())
+
+
+class Search:
+    """The perturbed A-star search of a slice of texts, a round at a time."""
+
+    def __init__(self, lattice: Lattice, norms: list[str], k: int, seeds: list[int]):
+        words, self.word, self.begin = lattice.words(norms)
+        self.g = lattice.graph(words)
+        self.k, n, m = k, len(norms), len(self.word)
+        self.seed = mix(np.array(seeds, _U))
+        size = np.diff(self.begin)
+        place = np.arange(m) - np.repeat(self.begin[:-1], size)
+        self.base = np.repeat(self.seed, size) + _PLACE * (place + 1).astype(_U)
+        self.flat, self.at, self.logp = [], [], np.zeros((k, m))
+        self.value = np.full((k + 1, n), -np.inf)  # perturbed values of the paths, then kappa
+        self.parent, self.split = np.full((k, n), -1), np.full((k, n), -1)
+        self.new: list[dict[int, tuple[int, ...]]] = [{} for _ in range(k)]
+        self.taken: list[dict[int, list[tuple[int, ...]]]] = [{} for _ in range(k)]
+        self.left = np.zeros((k, m))  # of a word, without the path's own segmentation and those that are taken
+        open_value, open_path, open_place = (np.zeros((n, 0)) for _ in range(3))
+        live = np.arange(n)
+        self.value[0] = gumbel(self.seed + _PATH)
+        self._draw(0, live, np.zeros(n, np.int64))
+        for r in range(k):
+            value, place = self._expand(r, live, k - r)
+            pad = np.full((n, value.shape[1]), -np.inf)
+            pad[live] = value
+            where = np.zeros_like(pad)
+            where[live] = place
+            open_value, open_path, open_place = np.hstack([open_value, pad]), np.hstack([open_path, np.full_like(pad, r)]), np.hstack([open_place, where])
+            best = open_value.argmax(axis=1)
+            top = open_value[np.arange(n), best]
+            open_value[np.arange(n), best] = -np.inf
+            live = np.flatnonzero(top > -np.inf)
+            if not len(live):
+                break
+            self.value[r + 1, live] = top[live]
+            if r + 1 < k:
+                best = best[live]
+                self._split(r + 1, live, open_path[live, best].astype(np.int64), open_place[live, best].astype(np.int64))
+
+    def _draw(self, r: int, texts: np.ndarray, after: np.ndarray) -> None:
+        """Path r of ``texts``: a new draw for the words from ``after`` on."""
+        here = spans(self.begin[texts] + after, self.begin[texts + 1])
+        flat, begin, logp, left = walked(self.g, self.word[here], self.base[here] + _PATH * _U(r + 2))
+        count = np.zeros(len(self.word) + 1, np.int64)
+        count[here + 1] = np.diff(begin)
+        self.flat.append(flat)
+        self.at.append(np.cumsum(count))
+        self.logp[r, here], self.left[r, here] = logp, left
+
+    def _split(self, r: int, texts: np.ndarray, parent: np.ndarray, split: np.ndarray) -> None:
+        self.parent[r, texts], self.split[r, texts] = parent, split
+        head = spans(self.begin[texts], self.begin[texts] + split)
+        self.logp[r, head] = self.logp[np.repeat(parent, split), head]
+        base = self.base[self.begin[texts] + split] + _PATH * _U(r + 1000)
+        for i, (t, q, at) in enumerate(zip(texts.tolist(), parent.tolist(), split.tolist())):
+            taken = [self.segmentation(t, q, at)]
+            if self.split[q, t] == at:
+                taken += self.taken[q][t]
+            token = int(self.begin[t]) + at
+            node = int(self.g.start[self.word[token]])
+            path, logp = Untaken(self.g, node, taken).draw(base[i : i + 1])
+            self.new[r][t], self.taken[r][t], self.logp[r, token] = path, taken, logp
+            self.left[r, token] = Untaken(self.g, node, [*taken, path]).left
+        self._draw(r, texts, split + 1)
+
+    def _expand(self, r: int, texts: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``room`` best nodes that the new path r leaves of its node: values (-inf: none) and places."""
+        from_ = np.maximum(self.split[r, texts], 0)
+        size = self.begin[texts + 1] - self.begin[texts]
+        head = np.zeros(len(texts))
+        old = spans(self.begin[texts], self.begin[texts] + from_)
+        if len(old):
+            head += np.bincount(np.repeat(np.arange(len(texts)), from_), self.logp[r, old], len(texts))
+        values, places = np.full((len(texts), room), -np.inf), np.zeros((len(texts), room), np.int64)
+        rows, skip = np.arange(len(texts)), 0
+        while len(rows):
+            t = texts[rows]
+            place = from_[rows, None] + skip + np.arange(AHEAD)
+            there = place < size[rows, None]
+            token = np.where(there, self.begin[t][:, None] + place, 0)
+            logp = np.where(there, self.logp[r][token] if len(self.word) else 0.0, 0.0)
+            before = head[rows, None] + np.cumsum(logp, axis=1) - logp
+            left = np.where(there, self.left[r][token] if len(self.word) else 0.0, 0.0)
+            some = left > 0
+            with np.errstate(divide="ignore", over="ignore"):
+                number = gumbel(self.seed[t][:, None] + _PLACE * (place + 1).astype(_U) + _PATH * _U(r + 2000))
+                drawn = -np.logaddexp(-self.value[r, t][:, None], -(before + np.log(np.where(some, left, 1.0)) + number))
+            drawn = np.hstack([values[rows], np.where(some, drawn, -np.inf)])
+            place = np.hstack([places[rows], place])
+            best = np.argsort(-drawn, axis=1, kind="stable")[:, :room]
+            values[rows], places[rows] = np.take_along_axis(drawn, best, 1), np.take_along_axis(place, best, 1)
+            head[rows] += logp.sum(axis=1)
+            skip += AHEAD
+            rows = rows[(from_[rows] + skip < size[rows]) & (values[rows].min(axis=1) < head[rows] + TOP)]
+        return values, places
+
+    def segmentation(self, t: int, r: int, at: int) -> tuple[int, ...]:
+        """The edges of word ``at``, which is not before the place where path r was split off."""
+        if at == self.split[r, t]:
+            return self.new[r][t]
+        token = int(self.begin[t]) + at
+        return tuple(self.flat[r][self.at[r][token] : self.at[r][token + 1]].tolist())
+
+    def head(self, t: int, r: int, stop: int) -> list[np.ndarray]:
+        """The edges of path r's words before ``stop``, in parts."""
+        at, b = int(self.split[r, t]), int(self.begin[t])
+        if at < 0:
+            return [self.flat[r][self.at[r][b] : self.at[r][b + stop]]]
+        if stop <= at:
+            return self.head(t, int(self.parent[r, t]), stop)
+        return [*self.head(t, int(self.parent[r, t]), at), np.array(self.new[r][t], np.int64), self.flat[r][self.at[r][b + at + 1] : self.at[r][b + stop]]]
+
+    def found(self, t: int) -> list[tuple[np.ndarray, float, float, float]]:
+        """(symbols, log p, perturbed value, inclusion score) of a text's paths, largest perturbed value first."""
+        b, e = int(self.begin[t]), int(self.begin[t + 1])
+        kappa, out = self.value[self.k, t], []
+        for r in range(self.k):
+            if self.value[r, t] == -np.inf:
+                break
+            logp = float(self.logp[r, b:e].sum())
+            edges = np.concatenate([np.zeros(0, np.int64), *self.head(t, r, e - b)])
+            out.append((self.g.symbol[edges], logp, float(self.value[r, t]), float(-np.expm1(-np.exp(min(logp - kappa, 700))))))
+        return out
 
 
 def sample(lattice: Lattice, text: str, k: int, seed: int) -> list[tuple[list[int], float, float, float]]:
     """Up to k distinct segmentations, largest perturbed value first: (ids, log p, perturbed value, inclusion score)."""
-    words = lattice.words(text)
-    steps = [lattice.steps(w) for w in words]
-    rng = np.random.default_rng(seed)
-
-    def complete(path: list, word: int, at: int) -> list:
-        """Draw the steps from (word, position) to the end; a step: (options, choice, word, position)."""
-        draws, used = rng.random(len(words) - word + 16).tolist(), 0
-        while word < len(words):
-            if used == len(draws):
-                draws, used = rng.random(64).tolist(), 0
-            o = steps[word][at]
-            c = min(bisect_right(o.cumulative, draws[used]), len(o.ids) - 1)
-            used += 1
-            path.append((o, c, word, at))
-            word, at = (word + 1, 0) if o.to[c] is None else (word, o.to[c])
-        return path
-
-    gumbel = lambda n: -np.log(-np.log(np.maximum(rng.random(n), 1e-300)))
-    found, heap, tie = [], [], 0
-
-    def emit(path: list, value: float, free: int, taken: frozenset) -> None:
-        """``path`` is the best of its node, whose steps before ``free`` are fixed and whose ``taken`` at it are gone."""
-        nonlocal tie
-        logp = np.array([o.logp[c] for o, c, _, _ in path])
-        before = np.concatenate([[0.0], np.cumsum(logp)])
-        found.append((path, float(before[-1]), value))
-        room = k + 1 - len(found)
-        if room <= 0 or free >= len(path):
-            return
-        rest = np.array([o.rest[c] for o, c, _, _ in path[free:]])
-        gone = taken | {path[free][1]}
-        o = path[free][0]
-        left = sum(exp(o.logp[c]) for c in range(len(o.ids)) if c not in gone)
-        rest[0] = log(left) if left > 0 else -np.inf
-        with np.errstate(over="ignore"):
-            drawn = -np.logaddexp(-value, -(before[free:-1] + rest + gumbel(len(rest))))
-        for i in (np.argpartition(-drawn, room)[:room] if len(drawn) > room else range(len(drawn))):
-            if rest[i] > -np.inf:
-                tie += 1
-                heapq.heappush(heap, (-float(drawn[i]), tie, path, free + int(i), gone if i == 0 else frozenset({path[free + int(i)][1]})))
-
-    emit(complete([], 0, 0), float(gumbel(1)[0]), 0, frozenset())
-    while heap and len(found) <= k:
-        value, _, path, at, gone = heapq.heappop(heap)
-        o, _, word, place = path[at]
-        open_ = [c for c in range(len(o.ids)) if c not in gone]
-        p = np.cumsum([exp(o.logp[c]) for c in open_])
-        c = open_[min(int(np.searchsorted(p, rng.random() * p[-1], "right")), len(open_) - 1)]
-        head = [*path[:at], (o, c, word, place)]
-        emit(complete(head, *((word + 1, 0) if o.to[c] is None else (word, o.to[c]))), -value, at, gone)
-    kappa = found[k][2] if len(found) > k else -np.inf
-    return [([i for o, c, _, _ in path for i in o.ids[c]], lp, value, float(-np.expm1(-np.exp(min(lp - kappa, 700))))) for path, lp, value in found[:k]]
+    return [(lattice.ids(s).tolist(), *rest) for s, *rest in Search(lattice, [lattice.sp.normalize(text)], k, [seed]).found(0)]
 
 
 _lattices: dict = {}
@@ -182,24 +472,29 @@ def lattice_of(path: str, alpha: float) -> Lattice:
 def sampled_encodings(df: DataFrame, path: str, k: int, keys: list[str], text_col: str = "text", alpha: float = 1.0) -> DataFrame:
     """``keys``, rank (from 1), ids, log_prob, perturbed, inclusion, decoded text: up to k rows a row of ``df``."""
     schema = df.select(*keys).schema
+    names = [f"k{i}" for i in range(len(keys))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = lattice_of(path, alpha)
         for b in batches:
-            names = [b.column(f"k{i}").to_pylist() for i in range(len(keys))]
-            texts = b.column("text").to_pylist()
-            rows, out, size = [], [], 0
-            for i, (text, *key) in enumerate(zip(texts, *names)):
-                got = sample(lattice, text, k, xxhash.xxh3_64_intdigest(json.dumps(key, default=str)))
-                rows += [i] * len(got)
-                out += [(r, *g, lattice.sp.decode(g[0])) for r, g in enumerate(got, 1)]
-                size += k * len(text)
-                if size < OUT and i + 1 < len(texts):
-                    continue
+            done = 0
+            for s in slices(b.column("text"), SLICE):
+                own = b.slice(done, len(s))
+                done += len(s)
+                key = [own.column(c).to_pylist() for c in names]
+                seeds = [xxhash.xxh3_64_intdigest(json.dumps(x, default=str)) for x in zip(*key)]
+                search = Search(lattice, lattice.sp.normalize(s.to_pylist()), k, seeds)
+                rows, rank, ids, rest = [], [], [], []
+                for t in range(len(s)):
+                    for r, (symbols, *numbers) in enumerate(search.found(t), 1):
+                        rows.append(t)
+                        rank.append(r)
+                        ids.append(lattice.ids(symbols))
+                        rest.append(numbers)
+                flat = pa.array(np.concatenate([np.zeros(0, np.int64), *ids]).astype(np.int32))
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), flat)
                 take = pa.array(rows, pa.int64())
-                kinds = (pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64(), pa.string())
-                yield pa.record_batch([*(b.column(f"k{i}").take(take) for i in range(len(keys))), *(pa.array([o[j] for o in out], t) for j, t in enumerate(kinds))], names=[*(f"k{i}" for i in range(len(keys))), "rank", "ids", "log_prob", "perturbed", "inclusion", "decoded"])
-                rows, out, size = [], [], 0
+                yield pa.record_batch([*(own.column(c).take(take) for c in names), pa.array(rank, pa.int32()), lists, *(pa.array([x[j] for x in rest], pa.float64()) for j in range(3)), pa.array(lattice.decoded(ids), pa.string())], names=[*names, "rank", "ids", "log_prob", "perturbed", "inclusion", "decoded"])
 
     narrow = df.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keys)), text_of(text_col).alias("text"))
     out = arrow_map(narrow, run, ", ".join(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(schema)) + ", rank int, ids array<int>, log_prob double, perturbed double, inclusion double, decoded string")
@@ -211,7 +506,7 @@ def drawn(spark: SparkSession, sf_dir: str, table: str, keys: list[str]) -> Data
     import public_tokenizers as P
 
     out = sampled_encodings(read(spark, sf_dir, table, *keys, "text"), P.path("piece_bpe_32k.model"), 4, keys)
-    return out.select(*keys, "rank", F.size("ids").cast("long").alias("n_pieces"), F.crc32(F.concat_ws(",", F.transform("ids", lambda i: i.cast("string"))).cast("binary")).alias("ids_crc32"), "log_prob", "inclusion", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+    return out.select(*keys, "rank", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "inclusion", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
 def op9_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:

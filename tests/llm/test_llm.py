@@ -314,20 +314,79 @@ def test_bit_packing_round_trip(vocabulary):
     assert (r.ids(90, 700) == np.concatenate(texts)[90:700]).all()
 
 
-def test_piece_sampling(spark, docs, empty):
-    path = P.path("piece_bpe_32k.model")
-    lattice = piece_sampling.lattice_of(path, 1.0)
-    steps = [lattice.steps(w)[0] for w in lattice.words("ab the")]
-    exact = {tuple(i for o, c in zip(steps, ch) for i in o.ids[c]): sum(o.logp[c] for o, c in zip(steps, ch)) for ch in itertools.product(*(range(len(o.ids)) for o in steps))}
-    first, mass, n = collections.Counter(), 0.0, 3000
+def every_segmentation(lattice, text):
+    """{ids: log p} by listing all paths of the whole normalised text."""
+    sp, norm = lattice.sp, lattice.sp.normalize(text)
+    piece = {sp.id_to_piece(i): i for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
+    out, open_ = {}, [(0, (), 0.0)]
+    while open_:
+        i, ids, w = open_.pop()
+        if i == len(norm):
+            out[ids] = w
+            continue
+        for j in range(i + 1, len(norm) + 1):
+            if norm[i:j] in piece:
+                k = piece[norm[i:j]]
+                open_.append((j, (*ids, k), w - math.log(1 - sp.get_score(k))))
+        if norm[i] not in piece:
+            data = norm[i].encode()
+            open_.append((i + 1, (*ids, *(sp.piece_to_id(f"<0x{x:02X}>") for x in data)), w + lattice.far * len(data)))
+    total = np.logaddexp.reduce(list(out.values()))
+    return {ids: w - total for ids, w in out.items()}
+
+
+@pytest.mark.parametrize(("text", "least"), [("ab the", 2), ("segmentation", 65), ("a\nb\u16a0", 2)])
+def test_piece_sampling_against_all_segmentations(text, least):
+    lattice = piece_sampling.lattice_of(P.path("piece_bpe_32k.model"), 1.0)
+    exact = every_segmentation(lattice, text)
+    assert len(exact) >= least
+    first, second, mass, n = collections.Counter(), collections.Counter(), 0.0, 3000
+    search = piece_sampling.Search(lattice, [lattice.sp.normalize(text)] * n, 3, list(range(n)))
     for i in range(n):
-        got = piece_sampling.sample(lattice, "ab the", 3, i)
+        got = [(lattice.ids(g[0]).tolist(), *g[1:]) for g in search.found(i)]
         first[tuple(got[0][0])] += 1
+        second[tuple(got[1][0])] += 1
         mass += sum(math.exp(lp) / q for _, lp, _, q in got)
-        assert len({tuple(g[0]) for g in got}) == 3 and all(abs(exact[tuple(g[0])] - g[1]) < 1e-9 for g in got)
-    assert all(abs(first[s] / n - math.exp(lp)) < 0.04 for s, lp in exact.items()) and abs(mass / n - 1) < 0.02
+        assert len({tuple(g[0]) for g in got}) == min(3, len(exact)) and all(abs(exact[tuple(g[0])] - g[1]) < 1e-9 for g in got)
+        assert [g[2] for g in got] == sorted((g[2] for g in got), reverse=True)
+    p = {s: math.exp(lp) for s, lp in exact.items()}
+    assert all(abs(first[s] / n - x) < 0.04 for s, x in p.items()) and abs(mass / n - 1) < 0.03
+    likely = sorted(p, key=p.get)[-40:]  # the second is drawn as if the first were not there
+    assert all(abs(second[s] / n - sum(p[f] * p[s] / sum(p[o] for o in p if o != f) for f in p if f != s)) < 0.04 for s in likely)
+
+
+def test_piece_sampling_gives_all_if_there_are_few():
+    lattice = piece_sampling.lattice_of(P.path("piece_bpe_32k.model"), 1.0)
+    exact = every_segmentation(lattice, "ab the")
     every = piece_sampling.sample(lattice, "ab the", 99, 5)
-    assert {tuple(g[0]) for g in every} == set(exact) and all(g[3] == 1 for g in every)
+    assert {tuple(g[0]) for g in every} == set(exact) and len(every) == len(exact) and all(g[3] == 1 for g in every)
+
+
+def test_piece_sampling_does_not_depend_on_its_company():
+    lattice = piece_sampling.lattice_of(P.path("piece_bpe_32k.model"), 1.0)
+    texts = [t or "" for t in TEXTS] + noise(150, 4) + [" ".join(noise(200, 5))]
+    search = piece_sampling.Search(lattice, lattice.sp.normalize(texts), 4, list(range(len(texts))))
+    for i, t in enumerate(texts):
+        got = [(lattice.ids(s).tolist(), *rest) for s, *rest in search.found(i)]
+        assert got == piece_sampling.sample(lattice, t, 4, i)
+        assert len({tuple(g[0]) for g in got}) == len(got)
+        want = lattice.sp.decode(lattice.sp.encode(t))
+        assert all(lattice.sp.decode(g[0]) == want for g in got) and lattice.decoded([np.array(g[0], np.int64) for g in got]) == [want] * len(got)
+
+
+def test_piece_sampling_looks_as_far_ahead_as_it_must(monkeypatch):
+    """Values do not change if nodes are drawn 3 or 10,000 at a time."""
+    lattice = piece_sampling.lattice_of(P.path("piece_bpe_32k.model"), 1.0)
+    text, got = "a b c the of 1 2 3 4 " * 40, []
+    for ahead in (3, 64, 10_000):
+        monkeypatch.setattr(piece_sampling, "AHEAD", ahead)
+        got.append([(g[0], round(g[2], 9)) for g in piece_sampling.sample(lattice, text, 5, 11)])
+    assert got[0] == got[1] == got[2]
+
+
+def test_piece_sampling(spark, docs, empty):
+    path = P.path("piece_bpe_32k.model")
+    lattice = piece_sampling.lattice_of(path, 1.0)
     out = piece_sampling.sampled_encodings(docs, path, 3, ["doc_id", "id"]).collect()
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     assert all(r.decoded == lattice.sp.decode(lattice.sp.encode(texts[r.doc_id])) for r in out)
