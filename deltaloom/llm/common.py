@@ -51,8 +51,8 @@ def text_of(name: str = "text") -> Column:
 
 
 def ascii_lower(c: Column) -> Column:
-    """Lower-case A-Z only, so that every engine agrees."""
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """Lower-case A-Z only, so that every engine agrees; for ASCII, ``lower`` does so and is much faster."""
+    return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:

@@ -1,12 +1,11 @@
 """Line dedup with DataFrame functions only.
 
-A row's lines become key hashes in place. Each key goes once per row, with its first position, to range partitions of
-(hash, document); because the range key ends in the document, a key that a third of all lines share is spread over
-many partitions. Aggregation replaces a sorted stream: Spark drops the sort asked for below, as only minima and counts
-follow it, so a hash aggregate of minima gives each key's first occurrence and number of documents, pre-aggregated in
-its partition before the small exchange by hash. Keys found in enough
-documents go back to the rows they touch, and each row gets a compressed bitmap of the lines it keeps; text is neither
-shuffled nor returned by the operator.
+A row's lines become key hashes in place. Every line goes as (hash, document, position) to range partitions of
+(hash, document), sorted by position within them; because the range key ends in the document, a key that a third of all
+lines share is spread over many partitions. The sorted stream gives the first line of each key in each document; these
+are pre-aggregated in their partition to the key's first occurrence and number of documents before the small exchange
+by hash. Keys found in enough documents go back to the lines they touch, and each row gets a compressed bitmap of the
+lines it keeps; text is neither shuffled nor returned by the operator. All work on a row is linear in its lines.
 
 A bitmap is hexadecimal: bit i of the line string, padded to whole bytes, then run-length coded as
 ``count`` x ``0|1`` runs joined by commas (an all-kept row is one run), see ``keep_bitmap``.
@@ -18,7 +17,7 @@ of a key fare alike; very long texts are handled whole; an empty table gives an
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, ascii_lower, park, read, text_of, wide
@@ -30,12 +29,12 @@ def lines_of(text: Column) -> Column:
 
 
 def line_key(line: Column) -> Column:
-    return ascii_lower(F.regexp_replace(line, rf"^{SPACE}+|{SPACE}+$", ""))
+    return ascii_lower(F.btrim(line, F.lit(" \t\n\v\f\r")))
 
 
 def key_hash(key: Column) -> Column:
-    """128 bits: two chained 64-bit hashes, as one binary value that sorts."""
-    return F.concat(F.hex(F.xxhash64(key)), F.lit("."), F.hex(F.xxhash64(F.lit(0x5EED), key)))
+    """128 bits: two chained 64-bit hashes."""
+    return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(0x5EED), key).alias("b"))
 
 
 def keep_bitmap(bits: Column) -> Column:
@@ -56,28 +55,37 @@ def hashed_rows(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> Da
     return df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), keys.alias("keys"))
 
 
-def line_stats(rows: DataFrame) -> DataFrame:
-    """key, n_docs, first_id, first_pos over all rows, by the aggregation described above."""
-    once = rows.select("id", F.array_distinct("keys").alias("d"), "keys").select("id", "keys", F.explode("d").alias("key")).where("key is not null")
-    placed = once.select("key", "id", F.array_position("keys", F.col("key")).cast("long").alias("pos"))
-    ranged = placed.repartitionByRange(wide(rows.sparkSession), "key", "id").sortWithinPartitions("key", "id", "pos")
-    first_in_doc = ranged.groupBy("key", "id").agg(F.min("pos").alias("pos"))  # the range already clusters (key, id)
-    return first_in_doc.groupBy("key").agg(F.count("*").alias("n_docs"), F.min(F.struct(F.col("id").alias("first_id"), F.col("pos").alias("first_pos"))).alias("first")).select("key", "n_docs", "first.first_id", "first.first_pos")
+def lines_with_keys(rows: DataFrame) -> DataFrame:
+    """id, text_hash, pos (from 0), a, b: one row for each line that has a key."""
+    lines = rows.select("id", "text_hash", F.posexplode("keys").alias("pos", "key")).where("key is not null")
+    return lines.select("id", "text_hash", "pos", "key.a", "key.b")
+
+
+def line_stats(lines: DataFrame) -> DataFrame:
+    """a, b, n_docs, first_id, first_pos over all lines, by the sorted stream described above."""
+    ranged = lines.select("a", "b", "id", "pos").repartitionByRange(wide(lines.sparkSession), "a", "b", "id")
+    order = Window.partitionBy("a", "b", "id").orderBy("pos")  # the ranges already cluster it
+    firsts = ranged.withColumn("nth", F.row_number().over(order)).where("nth = 1")
+    first = F.min(F.struct(F.col("id").alias("first_id"), F.col("pos").alias("first_pos"))).alias("first")
+    return firsts.groupBy("a", "b").agg(F.count("*").alias("n_docs"), first).select("a", "b", "n_docs", "first.first_id", "first.first_pos")
 
 
 def keep_bitmaps(df: DataFrame, min_docs: int, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_first: bool = False) -> DataFrame:
     """Distinct (``id_col``, text_hash) with n_lines, n_dropped, keep. ``keep_first``: the first occurrence of a key stays."""
     rows = park(hashed_rows(df, id_col, text_col, min_chars), "lines")
-    often = park(line_stats(rows).where(F.col("n_docs") >= min_docs), "keys")
-    touched = rows.select("id", "text_hash", F.explode(F.array_distinct("keys")).alias("key")).join(often.select("key", "first_id", "first_pos"), "key")
-    stay = F.when(F.col("id").eqNullSafe(F.col("first_id")), F.col("first_pos")) if keep_first else F.lit(None).cast("long")
-    marks = touched.groupBy("id", "text_hash").agg(F.map_from_entries(F.collect_set(F.struct("key", F.coalesce(stay, F.lit(0)).alias("stay")))).alias("marks"))
-    base = rows.dropDuplicates(["id", "text_hash"])
-    out = base.join(marks, base["id"].eqNullSafe(marks["id"]) & (base["text_hash"] == marks["text_hash"]), "left").select(base["id"], base["text_hash"], "keys", "marks")
-    bit = lambda k, i: F.when(k.isNull() | F.col("marks").isNull(), "1").when(F.coalesce(F.col("marks")[k] == i + 1, ~F.map_contains_key("marks", k)), "1").otherwise("0")
-    out = out.select("id", "text_hash", F.size("keys").cast("long").alias("n_lines"), F.array_join(F.transform("keys", bit), "").alias("bits"))
-    dropped = F.char_length(F.translate("bits", "1", "")).cast("long")
-    return out.select(F.col("id").alias(id_col), "text_hash", "n_lines", dropped.alias("n_dropped"), keep_bitmap(F.col("bits")).alias("keep"))
+    lines = lines_with_keys(rows)
+    often = park(line_stats(lines).where(F.col("n_docs") >= min_docs), "keys")
+    touched = lines.join(often.drop("n_docs"), ["a", "b"])
+    if keep_first:
+        touched = touched.where(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("pos") == F.col("first_pos"))))
+    gone = touched.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    base = rows.select("id", "text_hash", F.size("keys").cast("long").alias("n_lines")).dropDuplicates(["id", "text_hash"])
+    out = base.join(gone, base["id"].eqNullSafe(gone["id"]) & (base["text_hash"] == gone["text_hash"]), "left").select(base["id"], base["text_hash"], "n_lines", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    # Before each dropped line the kept ones since the last dropped one; after the last, the rest.
+    before = lambda p, i: F.concat(F.repeat(F.lit("1"), p - 1 - F.coalesce(F.get("gone", i - 1), F.lit(-1))), F.lit("0"))
+    rest = F.col("n_lines") - 1 - F.coalesce(F.get("gone", F.size("gone") - 1), F.lit(-1))
+    bits = F.concat(F.array_join(F.transform("gone", before), ""), F.repeat(F.lit("1"), rest.cast("int")))
+    return out.select(F.col("id").alias(id_col), "text_hash", "n_lines", F.size("gone").cast("long").alias("n_dropped"), keep_bitmap(bits).alias("keep"))
 
 
 def apply_bitmaps(df: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

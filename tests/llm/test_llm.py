@@ -175,6 +175,16 @@ def test_line_dedup(spark, docs, empty, first):
     assert line_dedup.apply_bitmaps(empty, line_dedup.keep_bitmaps(empty, 2)).count() == 0
 
 
+@pytest.mark.parametrize("first", [False, True])
+def test_line_dedup_of_a_very_long_document(spark, first):
+    """Work is linear in a document's lines: a quadratic step over 300,000 would take hours."""
+    many = "\n".join(["Common", *(f"l{i % 200_000}" for i in range(300_000)), "common", "End"])
+    rows = [(1, many), (2, "common\nl7"), (3, " l7\nCOMMON\nx"), (4, "l7 \ncommon\nL199999"), (5, "é L7\nÉ l7")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = line_dedup.apply_bitmaps(df, line_dedup.keep_bitmaps(df, min_docs=3, keep_first=first))
+    assert sorted((str(r[0]), r[1] or "") for r in out.select("doc_id", "__dl_text").collect()) == brute_lines(rows, 3, first)
+
+
 def brute_near(rows, percent):
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
@@ -265,9 +275,12 @@ def check_pieces(pieces, rows, window):
     assert max(sizes) <= window and all(s & (s - 1) == 0 for s in sizes if s < window)
 
 
-@pytest.mark.parametrize("group", [1_000_000, 2])
-def test_packing(docs, empty, monkeypatch, group):
-    monkeypatch.setattr(packing, "GROUP_ROWS", group)
+@pytest.mark.parametrize("tasks", [1, 7])
+def test_packing(spark, docs, empty, tasks):
+    """Many remainders of one length, in one task and spread over several."""
+    same = spark.range(1000, 1400).select(F.col("id").alias("doc_id"), F.lit("one length for all").alias("text"))
+    all_ = docs.select("doc_id", "text").unionByName(same).repartition(tasks)
+    check_pieces(packing.pack(all_, BYTE, 0, 64).collect(), [(r.doc_id, r.text) for r in all_.collect()], 64)
     check_pieces(packing.pack(docs, BYTE, 0, 64).collect(), [(r.doc_id, r.text) for r in docs.collect()], 64)
     assert packing.pack(empty, BYTE, 0, 64).count() == 0
 
