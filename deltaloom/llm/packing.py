@@ -26,9 +26,6 @@ from pyspark.sql import functions as F
 from .common import arrow_map, park, read, text_of
 from .units import encoder
 
-#: Rows of one remainder length that are ranked in one group; a more frequent length gets more groups.
-GROUP_ROWS = 1_000_000
-
 
 def closest_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
     """The multiset of lengths, seeded with the longest, whose sum is the largest that fits ``capacity``."""
@@ -125,37 +122,40 @@ def crc(ids: np.ndarray) -> int:
 
 
 def encode_documents(df: DataFrame, path: str, end_id: int, window: int, id_col: str, text_col: str, memo: int) -> DataFrame:
-    """Per row: where it stands in the task, its tokens, the checksums of its full windows and the ids of its remainder."""
+    """Per row: its task, the full windows and the remainders of its length before it there, its tokens, checksums and remainder."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, row, before = encoder(path, memo=memo), TaskContext.get().partitionId(), 0, 0
+        encode, part, before = encoder(path, memo=memo), TaskContext.get().partitionId(), 0
+        seen = [0] * window
         for b in batches:
-            rids, befores, tokens, fulls, tails, sizes = [], [], [], [], [], []
+            nths, befores, tokens, fulls, tails, sizes = [], [], [], [], [], []
             for ids in encode(b.column("text")):
                 ids = np.append(ids, ids.dtype.type(end_id))
                 n = len(ids) // window
-                rids.append(part << 33 | row)
+                size = len(ids) - n * window
+                nths.append(seen[size])
+                seen[size] += 1
                 befores.append(before)
                 tokens.append(len(ids))
                 fulls.append([crc(ids[i * window : (i + 1) * window]) for i in range(n)])
                 tails.append(ids[n * window :].astype("<u4").tobytes())
-                sizes.append(len(ids) - n * window)
-                row, before = row + 1, before + n
-            cols = [b.column("id"), pa.array(rids, pa.int64()), pa.array([part] * len(rids), pa.int32()), pa.array(befores, pa.int64()), pa.array(tokens, pa.int64()), pa.array(fulls, pa.list_(pa.int64())), pa.array(tails, pa.binary()), pa.array(sizes, pa.int32())]
-            yield pa.record_batch(cols, names=["id", "rid", "part", "full_before", "doc_tokens", "full_crcs", "tail", "tail_len"])
+                sizes.append(size)
+                before += n
+            cols = [b.column("id"), pa.array(nths, pa.int64()), pa.array([part] * len(nths), pa.int32()), pa.array(befores, pa.int64()), pa.array(tokens, pa.int64()), pa.array(fulls, pa.list_(pa.int64())), pa.array(tails, pa.binary()), pa.array(sizes, pa.int32())]
+            yield pa.record_batch(cols, names=["id", "nth", "part", "full_before", "doc_tokens", "full_crcs", "tail", "tail_len"])
 
     narrow = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    return arrow_map(narrow, run, f"id {kind}, rid long, part int, full_before long, doc_tokens long, full_crcs array<long>, tail binary, tail_len int")
+    return arrow_map(narrow, run, f"id {kind}, nth long, part int, full_before long, doc_tokens long, full_crcs array<long>, tail binary, tail_len int")
 
 
 def pack(df: DataFrame, path: str, end_id: int, window: int = 1024, id_col: str = "doc_id", text_col: str = "text", memo: int = 500_000) -> DataFrame:
     """Pieces: ``id_col``, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Documents are encoded once and written to the shared folder. The driver sees the length histogram, one row for
-    each ranking group (window-1 and one for each GROUP_ROWS rows) and one for each task; the plan it sends out has a
-    number of records that depends on the window alone. ``memo`` trades a worker's memory (some 150 MB at the default)
-    for time.
+    Documents are encoded once and written to the shared folder. The driver sees the length histogram (window-1 rows)
+    and one row for each task; the plan it sends out has a number of records that depends on the window alone. A
+    remainder's rank among those of its length is its place in its task after those of the tasks before, so no group of
+    a length is ever in one task. ``memo`` trades a worker's memory (some 150 MB at the default) for time.
     """
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
@@ -164,35 +164,24 @@ def pack(df: DataFrame, path: str, end_id: int, window: int = 1024, id_col: str
     histogram = {r.tail_len: r.n for r in tails.groupBy("tail_len").agg(F.count("*").alias("n")).collect()}
     records, n_packed = plan(histogram, window)
 
-    # Ranks within a length: groups of bounded size, and how many come before each group.
-    groups = {n: -(-c // GROUP_ROWS) for n, c in histogram.items()}
-    hot = {n: g for n, g in groups.items() if g > 1}
-    many = F.create_map(*[F.lit(int(x)) for kv in hot.items() for x in kv])[F.col("tail_len")] if hot else F.lit(1)
-    salted = tails.withColumn("salt", F.pmod(F.xxhash64("rid"), F.coalesce(many, F.lit(1))).cast("int"))
-    firsts: dict[tuple[int, int], int] = {}
-    if hot:
-        seen: dict[int, int] = defaultdict(int)
-        for r in sorted(salted.groupBy("tail_len", "salt").agg(F.count("*").alias("n")).collect()):
-            firsts[r.tail_len, r.salt] = seen[r.tail_len]
-            seen[r.tail_len] += r.n
-    rank = F.row_number().over(Window.partitionBy("tail_len", "salt").orderBy("rid"))
-    ranked = salted.select("id", "doc_tokens", "tail", "tail_len", "salt", (rank - 1).cast("long").alias("rank"))
+    # Ranks within a length: how many the tasks before have, and the place in the own task.
+    own = tails.groupBy("part", "tail_len").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("tail_len").orderBy("part")) - F.col("n")
+    firsts = own.select("part", "tail_len", before.alias("first"))
+    ranked = tails.join(firsts, ["part", "tail_len"]).select("id", "doc_tokens", "tail", "tail_len", (F.col("first") + F.col("nth")).alias("rank"))
     by_length: dict[int, list] = defaultdict(list)
     for r in records:
         by_length[r[0]].append(r[1:])
-    sent = spark.sparkContext.broadcast((dict(by_length), firsts))
+    sent = spark.sparkContext.broadcast(dict(by_length))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        placed, first = sent.value
+        placed = sent.value
         for b in batches:
             length = b.column("tail_len").to_numpy(zero_copy_only=False)
-            salts = b.column("salt").to_numpy(zero_copy_only=False)
-            ranks = b.column("rank").to_numpy(zero_copy_only=False).copy()
+            ranks = b.column("rank").to_numpy(zero_copy_only=False)
             rows, out = [], []
             for n in np.unique(length):
                 at = np.flatnonzero(length == n)
-                if first:
-                    ranks[at] += np.array([first.get((int(n), int(s)), 0) for s in salts[at]], np.int64)
                 at = at[np.argsort(ranks[at], kind="stable")]
                 have = ranks[at]
                 for lo, hi, start, size, sequence, offset in placed[int(n)]:
