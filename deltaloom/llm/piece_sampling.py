@@ -10,7 +10,7 @@ are no more than k paths). Draws are hashes of the row's key, the path and the p
 wherever it runs.
 
 All of it runs on the arrays of a slice of texts at once: the lattice of the slice's distinct words is built by a trie
-walk over all their characters, a path is drawn for all words of all texts step by step, and each round pops one node
+walk over all their characters (a worker keeps those of a bounded number of words), a path is drawn for all words of all texts step by step, and each round pops one node
 of every text. A new node's value is at most the log probability of its prefix plus the largest Gumbel number that the
 generator can give, so nodes behind that bound cannot be popped and are not drawn.
 Weights: a unigram model's scores; for a BPE model -log(rank + 1), both times ``alpha``.
@@ -39,16 +39,34 @@ from .shingles import mix
 from .units import slices
 
 _U = np.uint64
-#: Bytes of text that are sampled at once; new nodes of a path that are drawn at once.
-SLICE, AHEAD = 2 << 20, 64
-#: The largest number that ``gumbel`` gives is below this.
-TOP = 36.75
+#: Bytes of text that are sampled at once; words whose lattices are built, and drawn from, at once; words whose lattices
+#: a worker keeps; new nodes of a path that are drawn at once.
+SLICE, BUILD, WALK, KEEP, AHEAD = 2 << 20, 8192, 1 << 15, 200_000, 64
+#: The largest number that ``gumbel`` gives is below this; a rest of a word's probability that is summed up, not taken
+#: from 1; draws of a word before it is drawn from the rest of its probability.
+TOP, RARE, TRIES = 36.75, 1e-10, 4
+_MASK, _MIX = (1 << 64) - 1, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 _PLACE, _STEP, _PATH = (np.array([x], _U) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
 def uniform(x: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) of 52 bits from unsigned 64-bit counters."""
-    return ((mix(x) >> _U(12)).astype(np.float64) + 0.5) * 2.0**-52
+    x = mix(x)
+    x >>= _U(12)
+    out = x.astype(np.float64)
+    out += 0.5
+    out *= 2.0**-52
+    return out
+
+
+def one_uniform(x: int) -> float:
+    """``uniform`` of one counter."""
+    x &= _MASK
+    x ^= x >> 30
+    x = x * _MIX[0] & _MASK
+    x ^= x >> 27
+    x = x * _MIX[1] & _MASK
+    return ((x ^ x >> 31) >> 12) * 2.0**-52 + 2.0**-53
 
 
 def gumbel(x: np.ndarray) -> np.ndarray:
@@ -66,17 +84,25 @@ def spans(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 class Graph:
     """The lattices of words, one node for each character. Edges of node i: first[i]..first[i+1]-1, the longest first.
 
-    ``to`` is the node after an edge (-1: the word ends), ``p`` its probability given the node, ``others`` that of the
-    node's other edges (as a sum, so that little is not lost beside 1), ``symbol`` its piece or the vocabulary's size plus the character that goes to several bytes or to <unk>.
+    ``to`` is the node after an edge (-1: the word ends), ``logp`` its log probability given the node, ``pick`` its
+    probability (2 for a node's last edge, which is taken if no other is), ``symbol`` its piece or the vocabulary's size
+    plus the character that goes to several bytes or to <unk>. ``only``: the word has one path.
     """
 
     start: np.ndarray
     first: np.ndarray
     to: np.ndarray
     symbol: np.ndarray
-    p: np.ndarray
+    pick: np.ndarray
     logp: np.ndarray
-    others: np.ndarray
+    only: np.ndarray
+
+    def plus(self, more: Graph) -> Graph:
+        """The words of this graph, then those of ``more``."""
+        nodes, edges = len(self.first) - 1, self.first[-1]
+        to = np.where(more.to < 0, -1, more.to + nodes).astype(np.int32)
+        joined = ((self.start, more.start + nodes), (self.first[:-1], more.first + edges), (self.to, to), *((getattr(self, c), getattr(more, c)) for c in ("symbol", "pick", "logp", "only")))
+        return Graph(*map(np.concatenate, joined))
 
 
 class Lattice:
@@ -96,6 +122,12 @@ class Lattice:
         pieces = {sp.id_to_piece(i): i for i in plain}
         self.longest = max(map(len, pieces))
         self.inner = any("▁" in p.lstrip("▁") for p in pieces)
+        # Between a letter and a mark that no piece has after a letter, every segmentation has a border.
+        before = {c: {a for p in pieces for a, b in zip(p, p[1:]) if b == c} for c in ".,;:!?"}
+        marks = "".join(c for c, have in before.items() if not any(pc.match_substring_regex(pa.array(sorted(have)), r"\p{L}").to_pylist()))
+        self.ends = rf"(\p{{L}})([{marks}])" if marks else None
+        self.known: dict[str, int] = {}
+        self.kept: Graph | None = None
         self.feeds = not any("\n" in p and len(p) > 1 for p in pieces)
         # The trie of the pieces: the state after a first character, then sorted keys (state, character).
         states: dict[tuple[int, int], int] = {}
@@ -120,6 +152,18 @@ class Lattice:
         self.plain[[*plain, *self.bytes.values()]] = True
         self.texts = pa.array([bytes([value[i]]) if i in value else sp.id_to_piece(i).replace("▁", " ").encode() for i in range(n)], pa.binary())
 
+    def lookup(self, words: list[str]) -> tuple[Graph, np.ndarray]:
+        """A graph that has ``words``, and their places in it; a worker keeps it while it has no more than KEEP words."""
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > KEEP:
+            self.known, self.kept, new = {}, None, words
+        for i in range(0, max(1, len(new)), BUILD):
+            part = self.graph(new[i : i + BUILD])
+            self.kept = part if self.kept is None else self.kept.plus(part)
+        for w in new:
+            self.known[w] = len(self.known)
+        return self.kept, np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
     def graph(self, words: list[str]) -> Graph:
         flat = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
         size = np.fromiter(map(len, words), np.int64, len(words))
@@ -190,11 +234,8 @@ class Lattice:
             logp[e] = v - np.repeat(total, k)
         to[to == np.repeat(stop, count)] = -1
         p = np.exp(logp)
-        top = np.maximum.reduceat(p, first[:-1]) if n else p
-        low = np.where(p == np.repeat(top, count), 0.0, p)
-        rest, ties = (np.add.reduceat(x, first[:-1]) if n else p for x in (low, (low == 0) * p))
-        others = np.repeat(rest, count) + np.where(low == 0, np.repeat(ties - top, count), np.repeat(ties, count) - p)
-        return Graph(end - size, first, to, out_symbol, p, logp, others)
+        p[first[1:] - 1] = 2.0
+        return Graph(end - size, first, to.astype(np.int32), out_symbol.astype(np.int32), p, logp, first[end] - first[end - size] == size)
 
     def words(self, norms: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Distinct words of normalised texts, each text's words as positions in them, and where texts begin."""
@@ -209,6 +250,8 @@ class Lattice:
             texts = pc.replace_substring(texts, "▁" + mark + "▁", "▁▁")
         if self.feeds:
             texts = pc.replace_substring(texts, "\n", mark + "\n" + mark)
+        if self.ends:
+            texts = pc.replace_substring_regex(texts, self.ends, rf"\1{mark}\2")
         parts = pc.split_pattern(texts, mark)
         begin = parts.offsets.to_numpy().astype(np.int64)
         begin = begin - begin[0]
@@ -254,79 +297,89 @@ class Lattice:
         return out
 
 
-def walked(g: Graph, word: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A path through each word: its edges one word after the other, where each word's begin, log p and 1 - p."""
-    token, node, logp, left = np.arange(len(word)), g.start[word], np.zeros(len(word)), np.zeros(len(word))
-    tokens, edges = [], []
-    while len(token):
-        u = uniform(base[token] + _STEP * _U(len(edges)))
-        e, last = g.first[node], g.first[node + 1] - 1
-        p = g.p[e]
-        on = np.flatnonzero((u >= p) & (e < last))
-        rest, p, last = u[on], p[on], last[on]
-        while len(on):
-            rest = rest - p
-            e[on] += 1
-            p = g.p[e[on]]
-            go = (rest >= p) & (e[on] < last)
-            on, rest, p, last = on[go], rest[go], p[go], last[go]
-        left[token] += np.exp(logp[token]) * g.others[e]
-        logp[token] += g.logp[e]
-        tokens.append(token)
-        edges.append(e)
-        node = g.to[e]
-        live = node >= 0
-        token, node = token[live], node[live]
-    count = np.bincount(np.concatenate(tokens), minlength=len(word)) if tokens else np.zeros(0, np.int64)
+def walked(g: Graph, words: np.ndarray, base: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A path through the word of each of ``tokens``: edges in the order of tokens, where each token's begin, and log p.
+
+    It is fastest if ``tokens`` are in the order of their words, whose edges then are near each other.
+    """
+    n = len(words)
+    logp, count, parts = np.zeros(n), np.zeros(n, np.int64), []
+    for lo in range(0, len(tokens), WALK):
+        token = tokens[lo : lo + WALK]
+        node, own = g.start[words[token]], base[token]
+        lp, step = np.zeros(len(token)), 0
+        while len(token):
+            u = uniform(own + _STEP * _U(step))
+            e = g.first[node]
+            p = g.pick[e]
+            on = np.flatnonzero(u >= p)
+            rest, p, at = u[on], p[on], e[on]
+            while len(on):
+                rest -= p
+                at += 1
+                p = g.pick[at]
+                go = rest >= p
+                e[on[~go]] = at[~go]
+                on, rest, p, at = on[go], rest[go], p[go], at[go]
+            lp += g.logp[e]
+            parts.append((token, step, e))
+            node = g.to[e]
+            live = node >= 0
+            done = token[~live]
+            logp[done], count[done] = lp[~live], step + 1
+            token, node, own, lp = token[live], node[live], own[live], lp[live]
+            step += 1
     begin = np.concatenate([[0], np.cumsum(count)])
     flat = np.zeros(begin[-1], np.int64)
-    for i, (t, e) in enumerate(zip(tokens, edges, strict=True)):
-        flat[begin[t] + i] = e
-    return flat, begin, logp, left
+    for token, step, e in parts:
+        flat[begin[token] + step] = e
+    return flat, begin, logp
 
 
 class Untaken:
-    """What a word's paths leave when those in ``taken`` are gone: ``left``, its probability, and draws from it."""
+    """What a word's paths leave when some are taken: ``mass[0]``, its probability, and draws from it."""
 
     def __init__(self, g: Graph, node: int, taken: list[tuple[int, ...]]):
-        self.g, self.node, self.next = g, [node], [{}]  # a trie of the taken paths
+        self.g, self.node, self.next, self.mass = g, [node], [{}], [1.0]  # a trie of the taken paths
         for path in taken:
-            at = 0
-            for e in path:
-                if e not in self.next[at]:
-                    self.next[at][e] = len(self.node)
-                    self.node.append(int(g.to[e]))
-                    self.next.append({})
-                at = self.next[at][e]
-        self.mass = [0.0] * len(self.node)
-        for at in reversed(range(len(self.node))):
-            self.mass[at] = sum(self.weights(at)) if self.node[at] >= 0 else 0.0
-        self.left = self.mass[0]
-
-    def weights(self, at: int) -> list[float]:
-        a, b = int(self.g.first[self.node[at]]), int(self.g.first[self.node[at] + 1])
-        p = self.g.p[a:b].tolist()
-        for e, to in self.next[at].items():
-            p[e - a] *= self.mass[to]
+            self.take(path)
+
+    def take(self, path: tuple[int, ...]) -> None:
+        trail = [0]
+        for e in path:
+            have = self.next[trail[-1]]
+            if e not in have:
+                have[e] = len(self.node)
+                self.node.append(int(self.g.to[e]))
+                self.next.append({})
+                self.mass.append(1.0)
+            trail.append(have[e])
+        self.mass[trail[-1]] = 0.0
+        for at in reversed(trail[:-1]):
+            self.mass[at] = sum(self.weights(self.node[at], at))
+
+    def weights(self, node: int, at: int | None) -> list[float]:
+        a = int(self.g.first[node])
+        p = np.exp(self.g.logp[a : int(self.g.first[node + 1])]).tolist()
+        if at is not None:
+            for e, to in self.next[at].items():
+                p[e - a] *= self.mass[to]
         return p
 
-    def draw(self, base: np.ndarray) -> tuple[tuple[int, ...], float]:
+    def draw(self, base: int) -> tuple[tuple[int, ...], float]:
         """A path and its log probability among all paths of the word."""
-        g, path, us, at, node = self.g, [], [], 0, self.node[0]
+        g, path, at, node, step = self.g, [], 0, self.node[0], int(_STEP[0])
         while node >= 0:
-            if not us:
-                us = uniform(base + _STEP * np.arange(len(path), len(path) + 64, dtype=_U)).tolist()[::-1]
-            a, b = int(g.first[node]), int(g.first[node + 1])
-            p = g.p[a:b].tolist() if at is None else self.weights(at)
-            u, e = us.pop() * sum(p), 0
+            p = self.weights(node, at)
+            u, e = one_uniform(base + step * len(path)) * sum(p), 0
             while e + 1 < len(p) and u >= p[e]:
                 u -= p[e]
                 e += 1
             while not p[e]:
                 e -= 1
-            path.append(a + e)
-            at = None if at is None else self.next[at].get(a + e)
-            node = int(g.to[a + e])
+            path.append(int(g.first[node]) + e)
+            at = None if at is None else self.next[at].get(path[-1])
+            node = int(g.to[path[-1]])
         return tuple(path), float(g.logp[path].sum())
 
 
@@ -334,8 +387,10 @@ class Search:
     """The perturbed A-star search of a slice of texts, a round at a time."""
 
     def __init__(self, lattice: Lattice, norms: list[str], k: int, seeds: list[int]):
-        words, self.word, self.begin = lattice.words(norms)
-        self.g = lattice.graph(words)
+        words, codes, self.begin = lattice.words(norms)
+        self.g, place = lattice.lookup(words)
+        self.word = place[codes]
+        self.order = np.argsort(self.word, kind="stable")
         self.k, n, m = k, len(norms), len(self.word)
         self.seed = mix(np.array(seeds, _U))
         size = np.diff(self.begin)
@@ -346,7 +401,7 @@ class Search:
         self.parent, self.split = np.full((k, n), -1), np.full((k, n), -1)
         self.new: list[dict[int, tuple[int, ...]]] = [{} for _ in range(k)]
         self.taken: list[dict[int, list[tuple[int, ...]]]] = [{} for _ in range(k)]
-        self.left = np.zeros((k, m))  # of a word, without the path's own segmentation and those that are taken
+        self.left = np.ones((k, n))  # of the word at which a path was split off, without what is taken and itself
         open_value, open_path, open_place = (np.zeros((n, 0)) for _ in range(3))
         live = np.arange(n)
         self.value[0] = gumbel(self.seed + _PATH)
@@ -372,27 +427,44 @@ class Search:
     def _draw(self, r: int, texts: np.ndarray, after: np.ndarray) -> None:
         """Path r of ``texts``: a new draw for the words from ``after`` on."""
         here = spans(self.begin[texts] + after, self.begin[texts + 1])
-        flat, begin, logp, left = walked(self.g, self.word[here], self.base[here] + _PATH * _U(r + 2))
-        count = np.zeros(len(self.word) + 1, np.int64)
-        count[here + 1] = np.diff(begin)
+        wanted = np.zeros(len(self.word), bool)
+        wanted[here] = True
+        flat, at, logp = walked(self.g, self.word, self.base + _PATH * _U(r + 2), self.order[wanted[self.order]])
         self.flat.append(flat)
-        self.at.append(np.cumsum(count))
-        self.logp[r, here], self.left[r, here] = logp, left
+        self.at.append(at)
+        self.logp[r, here] = logp[here]
 
     def _split(self, r: int, texts: np.ndarray, parent: np.ndarray, split: np.ndarray) -> None:
         self.parent[r, texts], self.split[r, texts] = parent, split
         head = spans(self.begin[texts], self.begin[texts] + split)
         self.logp[r, head] = self.logp[np.repeat(parent, split), head]
-        base = self.base[self.begin[texts] + split] + _PATH * _U(r + 1000)
+        # Draws that repeat what is taken are drawn again; words whose rest is rare are drawn from that rest.
+        tokens, wait, path, logp = self.begin[texts] + split, {}, {}, np.zeros(len(texts))
+        for i, (t, q, at) in enumerate(zip(texts.tolist(), parent.tolist(), split.tolist())):
+            wait[i] = [self.segmentation(t, q, at)] + (self.taken[q][t] if self.split[q, t] == at else [])
+            self.taken[r][t] = wait[i]
+        for attempt in range(TRIES):
+            if not wait:
+                break
+            here = np.array(list(wait))
+            flat, begin, lp = walked(self.g, self.word[tokens[here]], self.base[tokens[here]] + _PATH * _U(1000 + r + 1000 * attempt), np.arange(len(here)))
+            logp[here] = lp
+            for j, i in enumerate(here.tolist()):
+                drawn = tuple(flat[begin[j] : begin[j + 1]].tolist())
+                if drawn not in wait[i]:
+                    path[i] = drawn
+                    del wait[i]
         for i, (t, q, at) in enumerate(zip(texts.tolist(), parent.tolist(), split.tolist())):
-            taken = [self.segmentation(t, q, at)]
-            if self.split[q, t] == at:
-                taken += self.taken[q][t]
-            token = int(self.begin[t]) + at
-            node = int(self.g.start[self.word[token]])
-            path, logp = Untaken(self.g, node, taken).draw(base[i : i + 1])
-            self.new[r][t], self.taken[r][t], self.logp[r, token] = path, taken, logp
-            self.left[r, token] = Untaken(self.g, node, [*taken, path]).left
+            before = self.left[q, t] if self.split[q, t] == at else -np.expm1(self.logp[q, tokens[i]])
+            rest = None
+            if i in wait or before - np.exp(logp[i]) < RARE:
+                rest = Untaken(self.g, int(self.g.start[self.word[tokens[i]]]), self.taken[r][t])
+            if i in wait:
+                path[i], logp[i] = rest.draw(int(self.base[tokens[i]]) + int(_PATH[0]) * (500 + r))
+            self.new[r][t], self.logp[r, tokens[i]] = path[i], logp[i]
+            if rest is not None:
+                rest.take(path[i])
+            self.left[r, t] = before - np.exp(logp[i]) if rest is None else rest.mass[0]
         self._draw(r, texts, split + 1)
 
     def _expand(self, r: int, texts: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
@@ -412,7 +484,13 @@ class Search:
             token = np.where(there, self.begin[t][:, None] + place, 0)
             logp = np.where(there, self.logp[r][token] if len(self.word) else 0.0, 0.0)
             before = head[rows, None] + np.cumsum(logp, axis=1) - logp
-            left = np.where(there, self.left[r][token] if len(self.word) else 0.0, 0.0)
+            free = there & ~self.g.only[self.word[token]] if len(self.word) else there
+            left = np.where(free, -np.expm1(logp), 0.0)
+            if len(odd := np.flatnonzero(free & (left < RARE) & (place > self.split[r, t][:, None]))):
+                left.flat[odd] = self._rest(r, token.flat[odd])
+            if not skip:
+                own = self.split[r, t] >= 0
+                left[own, 0] = self.left[r, t][own]
             some = left > 0
             with np.errstate(divide="ignore", over="ignore"):
                 number = gumbel(self.seed[t][:, None] + _PLACE * (place + 1).astype(_U) + _PATH * _U(r + 2000))
@@ -426,6 +504,20 @@ class Search:
             rows = rows[(from_[rows] + skip < size[rows]) & (values[rows].min(axis=1) < head[rows] + TOP)]
         return values, places
 
+    def _rest(self, r: int, tokens: np.ndarray) -> np.ndarray:
+        """1 - p of path r's segmentations of words, as a sum of what is not taken at their nodes."""
+        g, at = self.g, self.at[r]
+        e = self.flat[r][spans(at[tokens], at[tokens + 1])]
+        node = np.searchsorted(g.first, e, "right") - 1
+        k = g.first[node + 1] - g.first[node]
+        all_ = spans(g.first[node], g.first[node + 1])
+        p = np.where(all_ == np.repeat(e, k), 0.0, np.exp(g.logp[all_]))
+        others = np.add.reduceat(p, np.cumsum(k) - k)
+        n = at[tokens + 1] - at[tokens]
+        sums = np.cumsum(g.logp[e]) - g.logp[e]
+        before = sums - np.repeat(sums[np.cumsum(n) - n], n)
+        return np.bincount(np.repeat(np.arange(len(tokens)), n), np.exp(before) * others, len(tokens))
+
     def segmentation(self, t: int, r: int, at: int) -> tuple[int, ...]:
         """The edges of word ``at``, which is not before the place where path r was split off."""
         if at == self.split[r, t]:
@@ -451,7 +543,7 @@ class Search:
                 break
             logp = float(self.logp[r, b:e].sum())
             edges = np.concatenate([np.zeros(0, np.int64), *self.head(t, r, e - b)])
-            out.append((self.g.symbol[edges], logp, float(self.value[r, t]), float(-np.expm1(-np.exp(min(logp - kappa, 700))))))
+            out.append((self.g.symbol[edges].astype(np.int64), logp, float(self.value[r, t]), float(-np.expm1(-np.exp(min(logp - kappa, 700))))))
         return out
 
 

@@ -21,10 +21,11 @@ _U = np.uint64
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (multiply and shift), for arrays."""
     x = x ^ (x >> _U(30))
-    x = x * _U(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> _U(27))
-    x = x * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+    x *= _U(0xBF58476D1CE4E5B9)
+    x ^= x >> _U(27)
+    x *= _U(0x94D049BB133111EB)
+    x ^= x >> _U(31)
+    return x
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
