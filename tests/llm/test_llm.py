@@ -214,19 +214,58 @@ def test_near_dedup(spark, docs, empty):
         rows.append((i, " ".join(words)))
     rows += [(200, base[3].upper()), (201, "just three words"), (202, "Just  three\nwords "), (203, None), (204, ""), (205, " \n"), (206, LONG), (207, LONG + " end")]
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85)
-    assert sorted(map(tuple, got.collect())) == brute_near(rows, 85)
+    assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id", "kept").collect())) == brute_near(rows, 85)
     odd = near_dedup.near_duplicates(docs, 85).collect()
     assert len(odd) == 14 and {x.component_id for x in odd if x.doc_id in (10, 11)} == {10}
     assert near_dedup.near_duplicates(empty, 85).count() == 0
 
 
+def brute_components(rows, percent):
+    """Per row (id, text), ids null or repeated: the smallest id that links reach (None if there is none), over rows."""
+    parts = brute_near(list(enumerate(t for _, t in rows)), percent)
+    label = {i: c for i, _, c, _ in parts}
+    members = collections.defaultdict(list)
+    for i, (d, t) in enumerate(rows):
+        members[label[i] if (t or "").strip(" \t\n\v\f\r") else ("own", i)].append(d)
+    smallest = {c: min((d for d in own if d is not None), default=None) for c, own in members.items()}
+    return [smallest[label[i] if (t or "").strip(" \t\n\v\f\r") else ("own", i)] for i, (_, t) in enumerate(rows)]
+
+
+def test_near_dedup_with_null_and_repeated_ids(spark):
+    r = random.Random(12)
+    text = lambda: " ".join(f"w{r.randrange(5000)}" for _ in range(120))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(None, a), (None, a + " x"), (7, a + " y"), (1, b), (1, c), (3, c + " z"), (None, d), (None, d + " v"), (9, ""), (None, ""), (None, None), (4, b), (4, b), (12, text()), (1 << 61, text())]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()
+    want = sorted(str((i, k, i == k)) for (i, _), k in zip(rows, brute_components(rows, 85)))
+    assert sorted(str((x.doc_id, x.component_id, x.kept)) for x in got) == want
+    groups = collections.Counter(x.component for x in got if x.component is not None)
+    assert sorted(groups.values()) == [1, 1, 2, 2, 3, 3]
+
+
+def test_near_dedup_in_small_blocks(spark, monkeypatch):
+    """Stars whose members are alike but not like their hub, in many blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    r = random.Random(13)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(0, " ".join(base))]
+    for g in range(6):  # groups near the threshold from the smallest, close within
+        own = base[: 300 - 12 - 6 * g] + [f"g{g}x{i}" for i in range(12 + 6 * g)]
+        for i in range(9):
+            words = list(own)
+            words[r.randrange(250)] = f"n{g}x{i}"
+            rows.append((10 * g + i + 1, " ".join(words)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85)
+    assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id", "kept").collect())) == brute_near(rows, 85)
+
+
 def test_near_dedup_compares_members_that_are_unlike_the_smallest(spark):
     """y and z are linked with each other, not with x, though all share much."""
     words = [f"w{i}" for i in range(400)]
     y = words[:330] + [f"y{i}" for i in range(70)]
     rows = [(1, " ".join(words)), (2, " ".join(y)), (3, " ".join(y[:-1]) + " z")]
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85)
-    assert sorted(map(tuple, got.collect())) == brute_near(rows, 85)
+    assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id", "kept").collect())) == brute_near(rows, 85)
 
 
 def test_set_sketch():
