@@ -1,17 +1,19 @@
 """Exact top-k inner products, norm-sorted.
 
-Vectors become integers, sorted by descending length into blocks; an SVD of their second moments (d x d, summed over
-all rows) gives a rotation that puts most of a product into its first coordinates. A task takes one block of queries
-through a stripe of blocks in descending length. What it already holds for a query is a threshold: by Cauchy-Schwarz a
-chunk is left when |q| |c| lies below it, and a pair when its partial product plus |q rest| |c rest| does. Survivors
-are scored with whole integers, so the result is exact; ties at the threshold always survive.
+Vectors become integers, sorted by descending length into blocks, which are files in the shared folder; an SVD of their
+second moments (d x d, summed over all rows) gives a rotation that puts most of a product into its first coordinates. A
+task takes one block of queries through a stripe of blocks in descending length. What it already holds for a query is a
+threshold: by Cauchy-Schwarz the rest of the stripe is left unread when |longest query| |c| lies below all thresholds, a
+chunk when |q| |c| does, and a pair when its partial product plus |q rest| |c rest| does. Survivors are scored with
+whole integers, so the result is exact; ties at the threshold always survive.
 
 Stripes do not know of each other. So the SEED longest vectors are offered to all queries first; the k-th score found
 there is a lower bound of a query's k-th score overall, and each stripe starts from it: it scores and returns little
 more than what can be in the result, instead of k rows a query.
 
-Queries are a stated set; they meet all rows in blocks. Memory of a task: QUERY_BLOCK queries and one chunk. The driver
-holds SEED vectors and d x d sums, at every size of the input.
+Queries are a stated set; they meet all rows in blocks, but only the names of the blocks' files are joined and moved,
+by stripe. Memory of a task: one block of queries and one of candidates. The driver holds SEED vectors and d x d sums,
+at every size of the input.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, as query or candidate; a row
 is not its own query's candidate (rows that share an id count as one row's); ties go to the smaller id; vectors of
@@ -21,15 +23,18 @@ result; further columns are ignored. Scores must fit 63 bits.
 
 from __future__ import annotations
 
+import io
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import park, read, wide
+from .common import arrow_map, park, read, shared_path, wide
 
 BLOCK, QUERY_BLOCK, CHUNK, LEAD, SEED = 4096, 4096, 512, 16, 2048
 
@@ -59,7 +64,7 @@ def rotation(vectors: DataFrame, dim: int) -> np.ndarray:
             total += m.T @ m
         yield pa.record_batch([pa.array(range(dim), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "row"])
 
-    parts = vectors.select("v").mapInArrow(run, "i int, row array<double>").select("i", F.posexplode("row").alias("j", "x"))
+    parts = arrow_map(vectors.select("v"), run, "i int, row array<double>").select("i", F.posexplode("row").alias("j", "x"))
     moments = np.zeros((dim, dim))
     for r in parts.groupBy("i", "j").agg(F.sum("x").alias("x")).collect():
         moments[r.i, r.j] = r.x
@@ -67,29 +72,48 @@ def rotation(vectors: DataFrame, dim: int) -> np.ndarray:
     return u
 
 
-def blocks(vectors: DataFrame, dim: int, size: int) -> DataFrame:
-    """(part, nth, longest, ids, data): blocks of at most ``size`` vectors in the partitions' order, packed."""
+def blocks(vectors: DataFrame, dim: int, size: int, folder: str) -> DataFrame:
+    """(part, nth, longest, path): files of at most ``size`` vectors in the partitions' order, in the smallest type that holds them.
+
+    Names are unique to a task attempt, so a repeated task never touches what another wrote.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, nth, ids, rows, held = TaskContext.get().partitionId(), 0, [], [], 0
 
-        def packed() -> pa.RecordBatch:
+        def written() -> pa.RecordBatch:
             i, m = np.concatenate(ids)[:size], np.concatenate(rows)[:size]
             far = float(np.sqrt((m.astype(np.float64) ** 2).sum(axis=1).max()))
-            return pa.record_batch([pa.array([part], pa.int32()), pa.array([nth], pa.int32()), pa.array([far]), pa.array([i.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], names=["part", "nth", "longest", "ids", "data"])
+            kind = next(k for k in (np.int16, np.int32, np.int64) if np.abs(m, dtype=np.float64).max(initial=0) <= np.iinfo(k).max)
+            path = f"{folder}/{part:08d}-{nth:06d}-{uuid.uuid4().hex}.block"
+            save(path, ids=i, vectors=m.astype(kind))
+            return pa.record_batch([pa.array([part], pa.int32()), pa.array([nth], pa.int32()), pa.array([far]), pa.array([path])], names=["part", "nth", "longest", "path"])
 
         for b in batches:
             ids.append(b.column("id").to_numpy(zero_copy_only=False))
             rows.append(matrix(b.column("v"), dim))
             held += len(b)
             while held >= size:
-                yield packed()
+                yield written()
                 nth, held = nth + 1, held - size
                 ids, rows = [np.concatenate(ids)[size:]], [np.concatenate(rows)[size:]]
         if held:
-            yield packed()
+            yield written()
+
+    return arrow_map(vectors.select("id", "v"), run, "part int, nth int, longest double, path string")
+
+
+def save(path: str, **arrays: np.ndarray) -> None:
+    store, file = fs.FileSystem.from_uri(path)
+    store.create_dir(file.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(file) as out:
+        np.savez(out, **arrays)
 
-    return vectors.select("id", "v").mapInArrow(run, "part int, nth int, longest double, ids binary, data binary")
+
+def load(path: str) -> dict[str, np.ndarray]:
+    store, file = fs.FileSystem.from_uri(path)
+    with store.open_input_file(file) as source:
+        return dict(np.load(io.BytesIO(source.read())))
 
 
 class Best:
@@ -143,19 +167,18 @@ def search(best: Best, q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: n
 
 def bounded(asked: DataFrame, seed_ids: np.ndarray, seeds: np.ndarray, turn: np.ndarray, k: int) -> DataFrame:
     """Blocks of queries with ``least``: for each query the k-th score among the seeds (the least integer if fewer)."""
-    dim = seeds.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            least = []
-            for ids, data in zip(b.column("ids").to_pylist(), b.column("data").to_pylist(), strict=True):
-                ids = np.frombuffer(ids, np.int64)
-                best = Best(len(ids), k)
-                search(best, ids, np.frombuffer(data, np.int64).reshape(-1, dim), seed_ids, seeds, turn)
-                least.append(best.least.tobytes())
-            yield pa.record_batch([*(b.column(c) for c in ("part", "nth", "ids", "data")), pa.array(least, pa.binary())], names=["part", "nth", "ids", "data", "least"])
+            for i, path in enumerate(b.column("path").to_pylist()):
+                block = load(path)
+                best = Best(len(block["ids"]), k)
+                search(best, block["ids"], block["vectors"].astype(np.int64), seed_ids, seeds, turn)
+                name = f"{path}.{uuid.uuid4().hex}.least"
+                save(name, least=best.least)
+                yield pa.record_batch([b.column("part").slice(i, 1), b.column("nth").slice(i, 1), b.column("path").slice(i, 1), pa.array([name])], names=["part", "nth", "path", "least"])
 
-    return asked.select("part", "nth", "ids", "data").mapInArrow(run, "part int, nth int, ids binary, data binary, least binary")
+    return arrow_map(asked.select("part", "nth", "path"), run, "part int, nth int, path string, least string")
 
 
 def top_k(df: DataFrame, k: int, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -170,40 +193,34 @@ def top_k(df: DataFrame, k: int, is_query: Column, id_col: str = "vec_id", vecto
         return spark.createDataFrame([], empty)
     turn = rotation(vectors, dim)
     ordered = vectors.repartitionByRange(max(1, -(-n // BLOCK)), F.col("norm2").desc(), "id").sortWithinPartitions(F.col("norm2").desc(), "id")
-    candidates = park(blocks(ordered, dim, BLOCK), "candidates")
+    candidates = park(blocks(ordered, dim, BLOCK, shared_path(spark, "blocks")), "candidates")
     first = vectors.orderBy(F.col("norm2").desc(), "id").limit(SEED).select("id", "v").toArrow().combine_chunks()
     seed_ids, seeds = first.column("id").to_numpy(), np.concatenate([matrix(c, dim) for c in first.column("v").chunks])
-    asked = blocks(vectors.where(is_query).repartition(max(1, -(-n // (8 * QUERY_BLOCK)))), dim, QUERY_BLOCK)
+    asked = park(blocks(vectors.where(is_query).repartition(max(1, -(-n // (8 * QUERY_BLOCK)))), dim, QUERY_BLOCK, shared_path(spark, "queries")), "asked")
     asked = park(bounded(asked, seed_ids, seeds, turn, k), "queries")
-    # Stripes take every m-th partition of the order, so each begins with long vectors.
+    # Stripes take every m-th partition of the order, so each begins with long vectors. Every block of the stated
+    # queries meets every stripe: by name, as an equi-join.
     stripes = wide(spark)
-    q = asked.select(F.struct("part", "nth").alias("qb"), "ids", "data", "least")
-    tags = q.select("qb")
-    mine = candidates.select((F.col("part") % stripes).alias("stripe"), F.col("longest").alias("at"), "ids", "data")
-    queries = q.select("qb", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"), F.lit(float("inf")).alias("at"), "ids", "data", "least")
-    # Every block of the stated queries meets every block of rows.
-    met = mine.join(F.broadcast(tags) if n <= BLOCK * QUERY_BLOCK else tags).select("qb", "stripe", "at", "ids", "data", F.lit(None).cast("binary").alias("least"))
-    rows = met.unionByName(queries).select("qb.part", "qb.nth", "stripe", "at", "ids", "data", "least").repartition(wide(spark), "part", "nth", "stripe").sortWithinPartitions("part", "nth", "stripe", F.col("at").desc())
+    mine = candidates.groupBy((F.col("part") % stripes).alias("stripe")).agg(F.sort_array(F.collect_list(F.struct("longest", "path")), asc=False).alias("blocks"))
+    turns = asked.select("path", "least", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"))
+    work = turns.join(mine, "stripe").select("path", "least", F.col("blocks.longest").alias("longest"), F.col("blocks.path").alias("names")).repartition(wide(spark), "path", F.col("names")[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, q_ids, q_rows = None, None, None
-
-        def found() -> pa.RecordBatch:
-            return pa.record_batch([pa.array(q_ids[best.q]), pa.array(best.id), pa.array(best.score)], names=["query_id", "vec_id", "score"])
-
         for b in batches:
-            for at, ids, data, least in zip(*(b.column(c).to_pylist() for c in ("at", "ids", "data", "least")), strict=True):
-                ids, data = np.frombuffer(ids, np.int64), np.frombuffer(data, np.int64).reshape(-1, dim)
-                if at == float("inf"):
-                    if best is not None and len(best.q):
-                        yield found()
-                    best, q_ids, q_rows = Best(len(ids), k, np.frombuffer(least, np.int64)), ids, data
-                else:
-                    search(best, q_ids, q_rows, ids, data, turn)
-        if best is not None and len(best.q):
-            yield found()
-
-    parts = rows.mapInArrow(run, "query_id long, vec_id long, score long")
+            for path, least, longest, names in zip(*(b.column(c).to_pylist() for c in ("path", "least", "longest", "names")), strict=True):
+                block = load(path)
+                q_ids, q = block["ids"], block["vectors"].astype(np.int64)
+                best = Best(len(q_ids), k, load(least)["least"])
+                q_len = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
+                for far, name in zip(longest, names, strict=True):
+                    if (q_len * far * (1 + 1e-9) + 1e-9 < best.least).all():
+                        break  # all that follows is shorter still
+                    c = load(name)
+                    search(best, q_ids, q, c["ids"], c["vectors"].astype(np.int64), turn)
+                if len(best.q):
+                    yield pa.record_batch([pa.array(q_ids[best.q]), pa.array(best.id), pa.array(best.score)], names=["query_id", "vec_id", "score"])
+
+    parts = arrow_map(work, run, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return parts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
