@@ -176,16 +176,60 @@ def parse_subject(subject: Column) -> Column:
     return F.when(subject.startswith("rt.t.") & (n >= 5), F.struct(F.get(seg, 2).alias("tenant"), F.array_join(F.slice(seg, F.lit(4), F.greatest(n - 4, F.lit(0))), ".").alias("event"), F.element_at(seg, -1).alias("entity_id")))
 
 
+def pointer_value(v: str, ptr: str, kind: str = "variant") -> str:
+    """SQL for what an RFC 6901 pointer finds in a variant column: null if nothing. Digits are an array's index or a member's name."""
+    from itertools import product
+
+    parts = [p.replace("~1", "/").replace("~0", "~") for p in ptr.split("/")[1:]]
+    name = lambda p: "['" + p.replace("'", "\\'") + "']"
+    index = lambda p: p.isascii() and p.isdigit() and (p == "0" or p[0] != "0")
+    paths = ["$" + "".join(c) for c in product(*([f"[{p}]", name(p)] if index(p) else [name(p)] for p in parts))]
+    got = ['try_variant_get({}, "{}", "{}")'.format(v, p.replace("\\", "\\\\").replace('"', '\\"'), kind) for p in paths]
+    return got[0] if len(got) == 1 else f"coalesce({', '.join(got)})"
+
+
 def pointer(v: str, ptr: str) -> tuple[str, str]:
     """RFC 6901 pointer over a variant column: SQL for (value text, presence). A missing member differs from a null one."""
-    parts = [p.replace("~1", "/").replace("~0", "~") for p in ptr.split("/")[1:]]
-    path = "$" + "".join(f"[{p}]" if p.isdigit() else "['" + p.replace("'", "\\'") + "']" for p in parts)
-    lit = path.replace("\\", "\\\\").replace('"', '\\"')
-    return f'try_variant_get({v}, "{lit}", "string")', f'try_variant_get({v}, "{lit}") is not null'
+    return pointer_value(v, ptr, "string"), f"{pointer_value(v, ptr)} is not null"
+
+
+def pointer_json(v: str, ptr: str) -> Column:
+    """The JSON text of what a pointer finds; JSON null is the text null, nothing is null."""
+    return F.to_json(F.expr(pointer_value(v, ptr)))
+
+
+def json_value(x) -> Column:
+    """The JSON text of a Python value, in the form that ``pointer_json`` has it."""
+    import json
+
+    return F.to_json(F.parse_json(F.lit(json.dumps(x))))
+
+
+def json_order(c: Column) -> Column:
+    """A sort key that compares scalars of one kind as values: nulls first."""
+    return F.struct(c.isNotNull().alias("n"), c.alias("x"))
+
+
+def project(have: list[str], wanted: list[str]) -> list[str]:
+    """The wanted columns that exist, in the wanted order."""
+    return [x for x in wanted if x in have]
+
+
+def lookup_values(items: Column, name: str) -> Column:
+    """Texts of one member of an array's elements, sorted: the values of a lookup field."""
+    return F.array_sort(F.transform(items, lambda x: x[name].cast("string")))
+
+
+def label_table(label: Column, names: dict[str, str] | None = None) -> Column:
+    """The table of a label: a given name, else the label in lower case."""
+    known = F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), label) if names else F.lit(None).cast("string")
+    return F.coalesce(known, F.lower(label))
 
 
 def index_name(template: str, subject: Column, at: Column, headers: dict[str, Column]) -> Column:
-    """%Y %m %d %H %%, ${subject}, ${subject:N}, ${header:NAME}; substitutions are lower-cased and sanitised."""
+    """%Y %m %d %H %%, ${subject}, ${subject:N}, ${header:NAME}; substitutions are lower-cased and sanitised.
+
+    An empty name and one that begins with _, - or + is an error of the run."""
     import re
 
     clean = lambda c: F.regexp_replace(F.lower(c), r"[^a-z0-9_.\-]", "_")
@@ -207,7 +251,8 @@ def index_name(template: str, subject: Column, at: Column, headers: dict[str, Co
         else:
             parts.append(F.lit(tok))
     name = F.concat(*parts)
-    return F.when((F.length(name) > 0) & ~name.rlike(r"\A[_\-+]"), name)
+    bad = name.isNull() | (F.length(name) == 0) | name.rlike(r"\A[_\-+]")
+    return F.when(bad, F.raise_error(F.concat(F.lit("bad index name "), F.coalesce(name, F.lit("null")))).cast("string")).otherwise(name)
 
 
 def key_template(template: str, doc: Column, variant: str, headers: dict[str, Column]) -> Column:

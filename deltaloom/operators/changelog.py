@@ -70,8 +70,48 @@ def runs(rows: DataFrame, order: str, same: list[str], by: list[str]) -> DataFra
     return rows.withColumn("_new", new).withColumn("run", F.sum("_new").over(w)).drop("_new")
 
 
+def batch_watermark(rows: DataFrame, batch: str, *positions: Column) -> DataFrame:
+    """The highest position of each batch; a row's position is the first that it has."""
+    return rows.groupBy(batch).agg(F.max(F.coalesce(*positions)).alias("watermark"))
+
+
+def stamped(docs: DataFrame, changes: DataFrame, position: str, name: str) -> DataFrame:
+    """Every document with the highest position of the batch's changes (J42): a scalar subquery, no join."""
+    return docs.withColumn(name, changes.agg(F.max(position)).scalar())
+
+
+def sized_batches(rows: DataFrame, order: str, by: list[str], size: int, most_bytes: int, nbytes: str, at: str | None = None, age_s: int | None = None) -> DataFrame:
+    """Flush a lane after ``size`` events, before more than ``most_bytes`` are held, or when the first is ``age_s`` old.
+
+    A batch begins where the one before ends, which no window function can say; each lane's rows are gathered as
+    (order, bytes, seconds) alone and cut by one fold over them."""
+    pos = F.struct(F.col(order).alias("o"), F.col(nbytes).cast("long").alias("b"), (F.unix_timestamp(at) if at else F.lit(0)).cast("long").alias("t"))
+    lanes = rows.groupBy(*by).agg(F.array_sort(F.collect_list(pos)).alias("_e"))
+    full = lambda s, x: (s["n"] >= size) | ((s["n"] > 0) & (s["b"] + x["b"] > most_bytes)) | ((s["n"] > 0) & (x["t"] - s["t"] >= age_s) if age_s is not None else F.lit(False))
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("k"), zero.alias("n"), zero.alias("b"), zero.alias("t"), F.array().cast("array<bigint>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        new, one = full(s, x), F.lit(1).cast("long")
+        k = F.when(new, s["k"] + one).otherwise(s["k"])
+        first = new | (s["n"] == 0)
+        return F.struct(k.alias("k"), F.when(new, one).otherwise(s["n"] + one).alias("n"), F.when(new, x["b"]).otherwise(s["b"] + x["b"]).alias("b"), F.when(first, x["t"]).otherwise(s["t"]).alias("t"), F.concat(s["out"], F.array(k)).alias("out"))
+
+    cut = lanes.withColumn("_b", F.aggregate("_e", start, step, lambda s: s["out"]))
+    placed = cut.select(*by, F.explode(F.arrays_zip(F.col("_e.o").alias("o"), F.col("_b").alias("b"))).alias("_x")).select(*by, F.col("_x.o").alias(order), F.col("_x.b").alias("batch"))
+    return rows.join(placed, [*by, order])
+
+
+def precise_rejection(rejected: DataFrame, count: int, first: int, last: int, offset: str = "offset") -> DataFrame:
+    """One row, ok and why: as many offsets as were reported, each once and in range; else the batch fails closed."""
+    c = F.col(offset)
+    seen = rejected.agg(F.count("*").alias("n"), F.countDistinct(offset).alias("d"), F.count(F.when(c.isNull() | (c < first) | (c > last), 1)).alias("out"))
+    why = F.when(F.col("n") != count, "count").when(F.col("out") > 0, "range").when(F.col("d") != F.col("n"), "repeated")
+    return seen.select(why.isNull().alias("ok"), why.alias("why"))
+
+
 def batches(rows: DataFrame, order: str, by: list[str], size: int) -> DataFrame:
-    """Flush every ``size`` events of a lane."""
+    """Flush every ``size`` events of a lane (D01); bounds of bytes and age: ``sized_batches``."""
     return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1) / size))
 
 

@@ -91,6 +91,14 @@ def compose(join: Join, tables: dict[str, DataFrame], keys: DataFrame | None = N
     return base
 
 
+def document_expression(join: Join, tables: dict[str, DataFrame]) -> DataFrame:
+    """doc_id and doc, the JSON object of the primary's columns and its relations (J31, J32): arrays are sorted after
+    they are gathered, a missing one-relation is null, a missing many-relation an empty array."""
+    docs = compose(join, tables)
+    body = [c for c in docs.columns if c not in ("doc_id", "target")]
+    return docs.select("doc_id", F.to_json(F.struct(*body), {"ignoreNullFields": "false"}).alias("doc"))
+
+
 def documents_json(docs: DataFrame, join: Join) -> DataFrame:
     """doc_id, target, doc: the JSON body, with ``{}`` for a missing one-relation that asks for it."""
     body = [c for c in docs.columns if c not in ("doc_id", "target")]
@@ -119,6 +127,79 @@ def affected(join: Join, tables: dict[str, DataFrame], changed: dict[str, DataFr
     return reduce(DataFrame.unionByName, parts).distinct() if parts else primary.select(*join.key).limit(0)
 
 
+def tombstones(join: Join, deleted: DataFrame) -> DataFrame:
+    """(doc_id, op) of deleted primaries."""
+    return deleted.select(doc_id(join.primary, *[F.col(k) for k in join.key]).alias("doc_id"), F.lit("delete").alias("op"))
+
+
+def pass_through(events: DataFrame, tables: list[str], table: str) -> DataFrame:
+    """Events of tables that no join has."""
+    return events.where(~F.coalesce(F.col(table).isin(*tables), F.lit(False)))
+
+
+def fetch(rel: Relation, related: DataFrame, keys: DataFrame) -> DataFrame:
+    """Related rows of a list of keys, by text, with the selected columns and the key's (J23, J24). ``keys``: one column
+    for each of the relation's related columns, in that order."""
+    names = [r for _, r in rel.on]
+    cols = list(dict.fromkeys([*[c for c in (rel.select or related.columns) if c in related.columns], *names]))
+    wanted = keys.toDF(*[f"_w{i}" for i in range(len(names))]).select(*[F.col(f"_w{i}").cast("string").alias(f"_w{i}") for i in range(len(names))]).dropna().distinct()
+    cond = reduce(Column.__and__, [related[n].cast("string") == wanted[f"_w{i}"] for i, n in enumerate(names)])
+    return related.join(wanted, cond, "left_semi").select(*cols)
+
+
+def backfill(join: Join, tables: dict[str, DataFrame], seen: dict[str, DataFrame], mode: str = "sync_on_miss") -> DataFrame:
+    """Documents when only part of the related rows has been seen (J22): ``none`` composes from the seen rows alone;
+    ``sync_on_miss`` fetches, for keys without a seen row, what the source table has."""
+    if mode not in ("none", "sync_on_miss"):
+        raise ValueError(f"backfill {mode!r}")
+    state = dict(tables) | seen
+    if mode == "sync_on_miss":
+        for rel in join.relations:
+            have = seen.get(rel.table)
+            if have is None:
+                continue
+            keys = tables[join.primary].select(*[F.col(p).cast("string").alias(r) for p, r in rel.on]).dropna().distinct()
+            names = [r for _, r in rel.on]
+            known = have.select(*[F.col(r).cast("string").alias(r) for r in names]).distinct()
+            full = Relation(rel.table, rel.embed_as, rel.on)
+            state[rel.table] = state[rel.table].unionByName(fetch(full, tables[rel.table], keys.join(known, names, "left_anti").select(*names)).select(*have.columns))
+    return compose(join, state)
+
+
+def load_spec(text: str, env: dict[str, str] | None = None, read=None) -> list[Join]:
+    """Joins from YAML: version 1, a list ``joins``. Values ``env:NAME`` and ``file:PATH`` are replaced by what they name;
+    anything else is literal, and unknown fields are refused (C08)."""
+    import os
+
+    import yaml
+
+    env = os.environ if env is None else env
+
+    def open_text(path: str) -> str:
+        with open(path, encoding="utf-8") as f:
+            return f.read().strip()
+
+    def resolved(x):
+        if isinstance(x, dict):
+            return {k: resolved(v) for k, v in x.items()}
+        if isinstance(x, list):
+            return [resolved(v) for v in x]
+        if isinstance(x, str) and x.startswith("env:"):
+            if x[4:] not in env:
+                raise ValueError(f"{x}: no such variable")
+            return env[x[4:]]
+        if isinstance(x, str) and x.startswith("file:"):
+            return (read or open_text)(x[5:])
+        return x
+
+    d = yaml.safe_load(text)
+    if not isinstance(d, dict) or d.get("version") != 1:
+        raise ValueError("version 1 is expected")
+    if extra := set(d) - {"version", "joins"}:
+        raise ValueError(f"unknown fields {sorted(extra)}")
+    return [spec(resolved(j)) for j in d.get("joins", [])]
+
+
 def recompose(join: Join, tables: dict[str, DataFrame], keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents of the keys that exist, doc ids of those that do not): source truth beats arrival order."""
     docs = compose(join, tables, keys)
@@ -126,6 +207,12 @@ def recompose(join: Join, tables: dict[str, DataFrame], keys: DataFrame) -> tupl
     return docs, gone.select(doc_id(join.primary, *[F.col(k) for k in join.key]).alias("doc_id")).distinct()
 
 
+def rebuild(join: Join, old_docs: DataFrame, tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """After a truncate of the primary: (the target's documents, all of them cleared; the full projection of what the
+    table now has) (J40). The caller overwrites the target with the second."""
+    return old_docs.select("doc_id", F.lit("clear").alias("op")), compose(join, tables)
+
+
 def apply_changes(join: Join, old_docs: DataFrame, tables: dict[str, DataFrame], keys: DataFrame) -> DataFrame:
     """The document table after a batch: untouched documents, recomposed ones, without tombstones."""
     docs, gone = recompose(join, tables, keys)

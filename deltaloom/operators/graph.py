@@ -76,10 +76,71 @@ def hot_endpoints(edges: DataFrame, most: int = 100) -> DataFrame:
     return edges.join(few, "type", "left_semi").select("type", F.col("dst").alias("id")).distinct()
 
 
+def hot_far_ends(primaries: DataFrame, edges: DataFrame, paths: list[list], most: int = 100) -> DataFrame:
+    """(type, side, id) of far ends to be left out: a prefix of a path that reaches at most ``most`` distinct nodes from
+    all primaries makes these hot for its last hop's types. The far side of an outgoing hop is dst, of an incoming one
+    src; a type with both, or of an undirected hop, is never filtered (G06)."""
+    sides: dict[str, set] = {}
+    for hops in paths:
+        for types, way in hops:
+            for t in types:
+                sides.setdefault(t, set()).update({"out": {"dst"}, "in": {"src"}, "any": {"dst", "src"}}[way])
+    clear = {t: next(iter(s)) for t, s in sides.items() if len(s) == 1}
+    parts = []
+    for hops in paths:
+        at = primaries.select(F.col("id").alias("near")).distinct()
+        for types, way in hops:
+            step = at.join(hop_edges(edges, types, way).select("near", "far", "edge"), "near")
+            far = step.select(F.col("far").alias("near")).distinct()
+            few = far.limit(most + 1).agg(F.count("*").alias("n")).where(F.col("n") <= most)
+            for t in types:
+                if t in clear:
+                    own = at.join(hop_edges(edges, [t], way), "near").select(F.lit(t).alias("type"), F.lit(clear[t]).alias("side"), F.col("far").alias("id")).distinct()
+                    parts.append(own.join(F.broadcast(few.select("n"))).drop("n"))  # at most one row
+            at = far
+    return reduce(DataFrame.unionByName, parts).distinct() if parts else edges.select("type", F.lit("dst").alias("side"), F.col("dst").alias("id")).limit(0)
+
+
 def edge_anchors(changed: DataFrame, hot: DataFrame) -> DataFrame:
-    """Ids that a changed edge touches, without hot far ends."""
-    ids = changed.select("type", F.explode(F.array("id", "src", "dst")).alias("anchor"))
-    return ids.join(hot.select("type", F.col("id").alias("anchor")), ["type", "anchor"], "left_anti").select("anchor").distinct()
+    """Ids that a changed edge touches: the edge, its near end, and its far end unless that is hot (G07). ``hot`` has
+    (type, id) and, where not all far ends are dst, side."""
+    if "side" not in hot.columns:
+        hot = hot.withColumn("side", F.lit("dst"))
+    end = lambda side: F.struct(F.lit(side).alias("side"), F.col(side).alias("anchor"))
+    ends = changed.select("type", F.explode(F.array(end("src"), end("dst"))).alias("e")).select("type", "e.*")
+    kept = ends.join(hot.select("type", "side", F.col("id").alias("anchor")), ["type", "side", "anchor"], "left_anti")
+    return kept.select("anchor").unionByName(changed.select(F.col("id").alias("anchor"))).distinct()
+
+
+def hop_report(patterns: list[str], configured: int) -> dict:
+    """The hops that a projection's longest path takes against the configured ones."""
+    need = max((len(parse_path(p)) for p in patterns), default=0)
+    return {"needed": need, "configured": configured, "warning": f"paths take {need} hops, {configured} are configured" if need > configured else None}
+
+
+WRITES = ("CREATE", "MERGE", "DELETE", "DETACH", "SET", "REMOVE", "DROP", "FOREACH", "LOAD")
+
+
+def check_projection(text: str) -> list[str]:
+    """Why a projection's text is refused: write keywords outside strings and comments, missing result columns."""
+    bare = re.sub(r"'(?:[^'\\\\]|\\\\.)*'|\"(?:[^\"\\\\]|\\\\.)*\"|`[^`]*`|//[^\n]*|/\*.*?\*/", " ", text, flags=re.S)
+    found = [f"write keyword {w}" for w in WRITES if re.search(rf"(?<![\w.:]){w}(?!\w)", bare, re.I)]
+    return found + [f"no column {c}" for c in ("primaryEid", "doc") if not re.search(rf"\bAS\s+{c}\b", bare)]
+
+
+def coalesced(polls: DataFrame, key: str, order: str) -> DataFrame:
+    """Polls of one id become one, the last; a hash aggregate with map-side combine."""
+    return polls.groupBy(key).agg(F.max(order).alias(order))
+
+
+def node_tombstones(deleted: DataFrame, table: str) -> DataFrame:
+    """(doc_id, op) of deleted primary nodes."""
+    return deleted.select(F.concat(F.lit(table + ":"), "id").alias("doc_id"), F.lit("delete").alias("op"))
+
+
+def event_labels(after, before):
+    """A node event's labels: those after it, or those before where there are none after."""
+    return F.when(F.size(after) > 0, after).otherwise(before)
 
 
 def fk_edges(rows: DataFrame, key: str, fk: str, kind: str, reversed_: bool = False) -> DataFrame:

@@ -67,6 +67,24 @@ def envelope_reject(e: dict[str, Column]) -> Column:
     return F.when(F.coalesce(e["schema_version"] != 2, F.lit(True)), "version").when(~F.coalesce(valid_tenant(e["tenant"]), F.lit(False)), "tenant").when(~F.coalesce(valid_event(e["event"]), F.lit(False)), "event").when(~F.coalesce(valid_entity(e["entity_id"]), F.lit(False)), "entity_id")
 
 
+def typed_response(fields: dict[str, str], data: str, typename: Column, seq: Column) -> list[Column]:
+    """A subscription's result columns: each field by its source expression, the type's name and the cursor."""
+    from ..functions.keys import source_expression
+
+    return [*(source_expression(e, data, {}, {}).alias(f) for f, e in fields.items()), typename.alias("__typename"), F.concat(F.lit("js:"), seq.cast("string")).alias("cursor")]
+
+
+def published(inputs: DataFrame, event_id: str, now: Column, version: int = 2) -> DataFrame:
+    """Publish inputs as events: the schema's version, when it was received, an id where the input has none."""
+    own = F.coalesce(F.col(event_id).cast("string"), F.expr("uuid()"))
+    return inputs.select(*[c for c in inputs.columns if c not in ("schema_version", "received_at")], F.lit(version).alias("schema_version"), now.alias("received_at"), own.alias("id"))
+
+
+def available(descriptors: DataFrame, tenant: str, tenants: str = "tenants") -> DataFrame:
+    """Subject descriptors that a tenant may see: those of no tenant in particular and its own."""
+    return descriptors.where((F.size(tenants) == 0) | F.array_contains(tenants, tenant))
+
+
 CAPABILITIES = {"core": (False, False, False, "per-connection"), "stream": (True, True, True, "total"), "log": (True, True, False, "total")}  # replay, durable, ack, order (T15)
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import pointer
+from ..functions.keys import json_value, pointer_json
 
 
 def bulk_actions(rows: DataFrame) -> DataFrame:
@@ -18,14 +18,51 @@ def bulk_actions(rows: DataFrame) -> DataFrame:
 
 
 def current_row(op: Column, new: Column, payload: Column) -> Column:
-    """On update an object ``new`` is the document."""
+    """On update an object ``new`` is the document."""
     return F.when((op == "update") & new.isNotNull(), new).otherwise(payload)
 
 
-def outcome(status: Column, kind: Column, action: Column) -> Column:
-    """applied, transient, permanent or blocked."""
-    transient = status.isin(408, 429) | (status >= 500) | kind.isin("es_rejected_execution_exception", "circuit_breaking_exception", "process_cluster_event_timeout_exception")
-    permanent = kind.isin("mapper_parsing_exception", "document_parsing_exception", "strict_dynamic_mapping_exception", "illegal_argument_exception")
+def view_source(namespace: Column, relation: Column, source: tuple[str, str]) -> Column:
+    """Whether a row is of a view's source table."""
+    return (namespace == source[0]) & (relation == source[1])
+
+
+def vector_distance(a: Column, b: Column, metric: str = "cosine") -> Column:
+    """Distance of two arrays of doubles by the metric of a vector index: cosine, euclidean, manhattan or dot."""
+    total = lambda f: F.aggregate(F.zip_with(a, b, f), F.lit(0.0), lambda s, x: s + x)
+    norm = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
+    if metric == "cosine":
+        return 1 - total(lambda x, y: x * y) / F.sqrt(norm(a) * norm(b))
+    if metric == "euclidean":
+        return F.sqrt(total(lambda x, y: (x - y) * (x - y)))
+    if metric == "manhattan":
+        return total(lambda x, y: F.abs(x - y))
+    if metric == "dot":
+        return -total(lambda x, y: x * y)
+    raise ValueError(f"metric {metric!r}")
+
+
+# Error types that pass by themselves, types of documents that never fit, and what the reason of an
+# illegal argument says if it is a mapping conflict.
+TRANSIENT = (
+    "circuit_breaking_exception",
+    "cluster_block_exception",
+    "es_rejected_execution_exception",
+    "master_not_discovered_exception",
+    "node_not_connected_exception",
+    "snapshot_in_progress_exception",
+    "unavailable_shards_exception",
+)
+PERMANENT = ("document_parsing_exception", "mapper_parsing_exception", "strict_dynamic_mapping_exception")
+CONFLICT = ("mapper", "cannot be changed", "different type")
+
+
+def outcome(status: Column, kind: Column, action: Column, reason: Column | None = None) -> Column:
+    """applied, transient, permanent or blocked (K04, K05). An illegal argument is permanent only as a mapping conflict."""
+    transient = status.isin(408, 429) | (status >= 500) | kind.isin(*TRANSIENT)
+    why = F.coalesce(F.lit(None).cast("string") if reason is None else reason, F.lit(""))
+    conflict = (kind == "illegal_argument_exception") & reduce(Column.__or__, [F.contains(why, F.lit(x)) for x in CONFLICT])
+    permanent = kind.isin(*PERMANENT) | conflict
     return F.when(status < 300, "applied").when(status == 409, "applied").when((action == "delete") & (status == 404), "applied").when(F.coalesce(transient, F.lit(False)), "transient").when(F.coalesce(permanent, F.lit(False)), "permanent").otherwise("blocked")
 
 
@@ -50,19 +87,20 @@ def split_oversize(sizes: list[int], limit: int) -> tuple[list[list[int]], list[
 
 def view_filter(cond: dict, variant: str = "doc") -> Column:
     """all / any of {pointer, equals | not_equals | in | not_in | exists | not_exists}; a missing value passes not_equals
-    and not_in (K18)."""
+    and not_in (K18). JSON values are compared: 5 is not "5", true is a boolean, null is a value."""
 
     def one(c: dict) -> Column:
-        value, present = (F.expr(x) for x in pointer(variant, c["pointer"]))
+        value = pointer_json(variant, c["pointer"])
+        among = lambda xs: reduce(Column.__or__, [value == json_value(x) for x in xs], F.lit(False))
         if "equals" in c:
-            return F.coalesce(value == str(c["equals"]), F.lit(False))
+            return F.coalesce(among([c["equals"]]), F.lit(False))
         if "not_equals" in c:
-            return F.coalesce(value != str(c["not_equals"]), F.lit(True))
+            return F.coalesce(~among([c["not_equals"]]), F.lit(True))
         if "in" in c:
-            return F.coalesce(value.isin([str(x) for x in c["in"]]), F.lit(False))
+            return F.coalesce(among(c["in"]), F.lit(False))
         if "not_in" in c:
-            return F.coalesce(~value.isin([str(x) for x in c["not_in"]]), F.lit(True))
-        return present if c.get("exists") else ~present
+            return F.coalesce(~among(c["not_in"]), F.lit(True))
+        return value.isNotNull() if c.get("exists") else value.isNull()
 
     parts = [one(c) for c in cond.get("all", cond.get("any", []))]
     return reduce(Column.__and__ if "all" in cond else Column.__or__, parts) if parts else F.lit(True)

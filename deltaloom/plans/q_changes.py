@@ -53,10 +53,18 @@ def partial(t):
     return merged.select("user_id", F.try_element_at("row", F.lit("a")).alias("a"), F.try_element_at("row", F.lit("b")).cast("long").alias("b"))
 
 
-for _name in ("s09_partial_update", "j13_primary_merge", "j14_related_merge"):
+for _name in ("s09_partial_update", "j14_related_merge"):
     query(_name, PARTIAL)(partial)
 
 
+@query("j13_primary_merge", "SELECT 'event:' || to_json([CAST(user_id AS VARCHAR)]) AS doc_id, a, b, c_name FROM (" + PARTIAL + ") LEFT JOIN customer ON c_custkey = user_id")
+def _(t):
+    """The primary's partial updates are merged, then composed with what its merged key refers to."""
+    join = C.Join("event", ("user_id",), (C.Relation("customer", "customer", (("user_id", "c_custkey"),), ("c_name",)),))
+    docs = C.compose(join, {"event": partial(t), "customer": t.customer})
+    return docs.select("doc_id", "a", "b", c("customer.c_name").alias("c_name"))
+
+
 @query("j14_related_merge_compose", "SELECT 'customer:' || to_json([CAST(c_custkey AS VARCHAR)]) AS doc_id, coalesce(string_agg(user_id || '-' || a, ',' ORDER BY user_id), '') AS related FROM customer LEFT JOIN (SELECT user_id, arg_max(event_type, event_id) AS a, arg_max_null(CASE WHEN event_id % 6 = 0 THEN NULL ELSE event_id % 100 END, event_id) FILTER (WHERE event_id % 3 = 0) AS fk FROM events GROUP BY user_id) ON fk = c_custkey GROUP BY c_custkey")
 def _(t):
     """Related rows are merged first; the foreign key, sent in every third change and there sometimes null, is the merged row's."""
@@ -93,12 +101,12 @@ def _(t):
 @query("s15_change_stream_filter", "SELECT event_id FROM events WHERE event_type IN ('signup', 'view', 'error') AND (event_id % 4 <> 0 OR event_type = 'error')")
 def _(t):
     full = F.when(c("event_id") % 4 != 0, c("props"))
-    return t.events.where(c("event_type").isin("signup", "view", "error") & (full.isNotNull() | (c("event_type") == "error"))).select("event_id")
+    return S.change_stream(t.events, "event_type", ["signup", "view", "error"], full, ["error"]).select("event_id")
 
 
 @query("s16_collection_scan", "SELECT doc_id FROM documents WHERE doc_id IS NOT NULL AND source NOT LIKE 'system.%'")
 def _(t):
-    return t.documents.where("doc_id is not null and source not like 'system.%'").select("doc_id")
+    return S.collection_scan(t.documents, "doc_id", "source").select("doc_id")
 
 
 @query("s17_id_relocation", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'own' ELSE CAST(event_id AS VARCHAR) END AS id, false AS has_old FROM events")
@@ -143,12 +151,12 @@ def _(t):
 @query("s28_snapshot_sentinel", "SELECT event_id FROM events WHERE event_id % 1000 <> 999")
 def _(t):
     mark = F.when(c("event_id") % 1000 == 999, "snapshot-complete")
-    return t.events.where(~mark.eqNullSafe(F.lit("snapshot-complete"))).select("event_id")
+    return S.without_marks(t.events, mark, ["snapshot-complete"]).select("event_id")
 
 
 @query("s05_resync_tables", "SELECT 'region' AS t, count(*) AS n FROM region UNION ALL SELECT 'nation', count(*) FROM nation")
 def _(t):
-    return t.region.agg(F.lit("region").alias("t"), F.count("*").alias("n")).unionByName(t.nation.agg(F.lit("nation").alias("t"), F.count("*").alias("n")))
+    return S.resync({"region": t.region, "nation": t.nation, "supplier": t.supplier}, ["region", "nation"])
 
 
 @query("d01_batching", "SELECT batch, count(*) AS n, min(event_id) AS lo FROM (SELECT event_id, ((row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 200)::BIGINT AS batch, event_type FROM events) GROUP BY batch, event_type")
@@ -170,13 +178,13 @@ query("d06_offset_prefix", PREFIX.format(" + 1"))(lambda t: prefix(t, 1))
 
 @query("d03_batch_watermark", "SELECT event_id // 500 AS batch, max(CASE WHEN event_id % 3 = 0 THEN event_id * 10 ELSE event_id END) AS w FROM events GROUP BY 1")
 def _(t):
-    first = F.coalesce(F.when(c("event_id") % 3 == 0, c("event_id") * 10), c("event_id"))
-    return t.events.groupBy(F.expr("event_id div 500").alias("batch")).agg(F.max(first).alias("w"))
+    e = t.events.withColumn("batch", F.expr("event_id div 500"))
+    return L.batch_watermark(e, "batch", F.when(c("event_id") % 3 == 0, c("event_id") * 10), c("event_id")).withColumnRenamed("watermark", "w")
 
 
 @query("d04_barriers", "SELECT event_id FROM events WHERE event_type <> 'error'")
 def _(t):
-    return t.events.where("event_type <> 'error'").select("event_id")
+    return S.without_marks(t.events, c("event_type"), ["error"]).select("event_id")
 
 
 @query("d07_safe_ack", "SELECT user_id, least(max(event_id), 5000) AS ack FROM events GROUP BY user_id")
@@ -215,4 +223,43 @@ def lanes(t):
 
 
 query("k09_runs", RUNS)(lanes)
-query("k11_lanes", RUNS)(lanes)
+
+
+@query("k11_lanes", "SELECT lane, run::BIGINT AS run, any_value(op) AS op, count(*) AS n FROM (SELECT lane, op, sum(new) OVER (PARTITION BY lane ORDER BY event_id) AS run FROM (SELECT event_id, op, user_id % 16 AS lane, CASE WHEN op IS NOT DISTINCT FROM lag(op) OVER (PARTITION BY user_id % 16 ORDER BY event_id) AND event_type IS NOT DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id % 16 ORDER BY event_id) THEN 0 ELSE 1 END AS new FROM (SELECT *, CASE WHEN event_id % 4 = 0 THEN 'delete' ELSE 'upsert' END AS op FROM events))) GROUP BY lane, run")
+def _(t):
+    """A record keeps to its lane; within a lane a run has one table and one kind of write."""
+    e = t.events.withColumn("lane", c("user_id") % 16).withColumn("op", F.when(c("event_id") % 4 == 0, "delete").otherwise("upsert"))
+    return L.runs(e, "event_id", ["op", "event_type"], ["lane"]).groupBy("lane", "run").agg(F.first("op").alias("op"), F.count("*").alias("n"))
+
+
+@query("s08_truncate_payload", "SELECT event_id, CASE WHEN event_id % 9 = 0 THEN '{\"cascade\":' || (event_id % 2 = 0) || ',\"restart_identity\":false}' ELSE '{\"u\":' || user_id || '}' END AS payload FROM events")
+def _(t):
+    op = F.when(c("event_id") % 9 == 0, "truncate").otherwise("insert")
+    return t.events.select("event_id", S.event_payload(op, F.to_json(F.struct(c("user_id").alias("u"))), F.lit(None).cast("string"), c("event_id") % 2 == 0).alias("payload"))
+
+
+@query("s22_kafka_rows", "SELECT event_id AS offset, CASE event_id % 4 WHEN 0 THEN 'insert' WHEN 1 THEN 'update' ELSE 'delete' END AS op, CAST(user_id AS VARCHAR) AS k, CAST(user_id AS VARCHAR) AS u FROM events WHERE event_id % 4 < 3 AND event_id % 5 <> 0")
+def _(t):
+    """Kafka's columns, with tombstones and unknown operations among the messages: these are left out."""
+    code = F.element_at(F.array(F.lit("c"), F.lit("u"), F.lit("d"), F.lit("t")), (c("event_id") % 4 + 1).cast("int"))
+    row = F.struct(c("user_id").alias("u"))
+    value = F.when(c("event_id") % 5 != 0, F.to_json(F.struct(F.struct(code.alias("op"), row.alias("after"), row.alias("before")).alias("payload"))))
+    k = t.events.select(F.to_json(F.struct(c("user_id").alias("id"))).cast("binary").alias("key"), value.cast("binary").alias("value"), F.lit("shop").alias("topic"), F.lit(0).alias("partition"), c("event_id").alias("offset"))
+    return S.from_kafka(k).select("offset", "op", c("doc_key")[0].alias("k"), F.get_json_object("row", "$.u").alias("u"))
+
+
+@query("s03_unknown_relations", "SELECT event_type AS relation, count(*) AS skipped FROM events WHERE event_type NOT IN ('click', 'view') GROUP BY 1")
+def _(t):
+    known = t.spark.createDataFrame([("click",), ("view",)], "relation string")
+    return S.unknown_relations(t.events.withColumnRenamed("event_type", "relation"), known)[1]
+
+
+@query("d05_precise_rejection", "SELECT count(*) = 40 AS ok, CASE WHEN count(*) <> 40 THEN 'count' END AS why FROM events WHERE event_id < 40")
+def _(t):
+    return L.precise_rejection(t.events.where("event_id < 40"), 40, 0, 5000, "event_id")
+
+
+@query("d01_sized_batching", "WITH RECURSIVE e AS (SELECT event_type, event_id, length(props) AS b, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events), w AS (SELECT event_type, i, 0::BIGINT AS batch, 1 AS n, b AS held FROM e WHERE i = 1 UNION ALL SELECT e.event_type, e.i, CASE WHEN w.n >= 50 OR w.held + e.b > 300 THEN w.batch + 1 ELSE w.batch END, CASE WHEN w.n >= 50 OR w.held + e.b > 300 THEN 1 ELSE w.n + 1 END, CASE WHEN w.n >= 50 OR w.held + e.b > 300 THEN e.b ELSE w.held + e.b END FROM w JOIN e ON e.event_type = w.event_type AND e.i = w.i + 1) SELECT event_type, batch, count(*) AS n FROM w GROUP BY ALL")
+def _(t):
+    e = t.events.select("event_type", "event_id", F.length("props").alias("b"))
+    return L.sized_batches(e, "event_id", ["event_type"], 50, 300, "b").groupBy("event_type", "batch").agg(F.count("*").alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.keys import doc_id
+from ..operators import changelog as L
 from ..operators import compose as C
 from ..operators.search import containing
 from .registry import query
@@ -129,7 +130,7 @@ def _(t):
 
 @query("j18_delete_tombstone", "SELECT 'orders:' || to_json([CAST(o_orderkey AS VARCHAR)]) AS doc_id, 'delete' AS op FROM orders WHERE o_orderkey % 10 = 0")
 def _(t):
-    return t.orders.where("o_orderkey % 10 = 0").select(doc_id("orders", c("o_orderkey")).alias("doc_id"), F.lit("delete").alias("op"))
+    return C.tombstones(ORDERS, t.orders.where("o_orderkey % 10 = 0"))
 
 
 @query("j19_primary_truncate", "SELECT 'nation:' || to_json([CAST(n_nationkey AS VARCHAR)]) AS doc_id FROM nation")
@@ -144,20 +145,17 @@ def _(t):
 
 @query("j21_pass_through", "SELECT event_id FROM events WHERE event_type NOT IN ('click', 'view')")
 def _(t):
-    known = t.spark.createDataFrame([("click",), ("view",)], "event_type string")
-    return t.events.join(known, "event_type", "left_anti").select("event_id")
+    return C.pass_through(t.events, ["click", "view"], "event_type").select("event_id")
 
 
 @query("j23_batched_lookup", "SELECT k AS c_custkey, c_name FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 100 = 0) JOIN customer ON c_custkey = k")
 def _(t):
-    wanted = t.orders.where("o_orderkey % 100 = 0").select(c("o_custkey").alias("c_custkey")).where("c_custkey is not null").distinct()
-    return t.customer.join(wanted, "c_custkey").select("c_custkey", "c_name")
+    return C.fetch(CUSTOMER, t.customer, t.orders.where("o_orderkey % 100 = 0").select("o_custkey")).select("c_custkey", "c_name")
 
 
 @query("j23_batched_lookup_all", "SELECT k AS c_custkey, c_name FROM (SELECT DISTINCT o_custkey AS k FROM orders) JOIN customer ON c_custkey = k")
 def _(t):
-    wanted = t.orders.select(c("o_custkey").alias("c_custkey")).where("c_custkey is not null").distinct()
-    return t.customer.join(wanted, "c_custkey").select("c_custkey", "c_name")
+    return C.fetch(CUSTOMER, t.customer, t.orders.select("o_custkey")).select("c_custkey", "c_name")
 
 
 @query("j25_target_stamp", "SELECT 'orders-v2' AS target, count(*) AS n FROM orders")
@@ -171,9 +169,41 @@ def _(t):
     return keys.select(doc_id("orders", c("o_orderkey")).alias("doc_id"), F.lit("pg.shop.orders.update").alias("subject"), F.lit("related").alias("reason"))
 
 
-@query("j33_full_projection", FULL_SQL + " ORDER BY o_orderkey")
+@query("j33_full_projection", "SELECT 'orders-v3' AS target, count(*) AS n, sum(o_orderkey)::BIGINT AS keys, sum((SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey))::BIGINT AS items FROM orders")
 def _(t):
-    return flat(C.compose(ORDERS, sides(t)))
+    """The bootstrap: every primary once, under the target's name, with all that it embeds."""
+    docs = C.compose(C.Join("orders", ("o_orderkey",), (CUSTOMER, ITEMS), target="orders-v3"), sides(t))
+    return docs.groupBy("target").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"), F.sum(F.size("items")).cast("long").alias("items"))
+
+
+@query("j32_json_document", "SELECT 'nation:' || to_json([CAST(n_nationkey AS VARCHAR)]) AS doc_id, '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\",\"suppliers\":[' || coalesce((SELECT string_agg('{\"s_suppkey\":' || s_suppkey || '}', ',' ORDER BY s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey), '') || ']}' AS doc FROM nation")
+def _(t):
+    rel = C.Relation("supplier", "suppliers", (("n_nationkey", "s_nationkey"),), ("s_suppkey",), many=True, sort_by="s_suppkey")
+    return C.document_expression(C.Join("nation", ("n_nationkey",), (rel,), ("n_nationkey", "n_name")), {"nation": t.nation, "supplier": t.supplier})
+
+
+@query("j40_truncate_rebuild", "SELECT 'nation:' || to_json([CAST(n_nationkey AS VARCHAR)]) AS doc_id, 'clear' AS op FROM nation UNION ALL SELECT 'nation:' || to_json([CAST(n_nationkey AS VARCHAR)]), 'upsert' FROM nation WHERE n_regionkey < 3")
+def _(t):
+    """The target is cleared of all that it had, then gets what the table has after its truncate."""
+    join = C.Join("nation", ("n_nationkey",))
+    cleared, docs = C.rebuild(join, C.compose(join, {"nation": t.nation}), {"nation": t.nation.where("n_regionkey < 3")})
+    return cleared.unionByName(docs.select("doc_id", F.lit("upsert").alias("op")))
+
+
+BACKFILL = "SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey"
+
+
+@query("j22_sync_on_miss", BACKFILL)
+def _(t):
+    """Half of the customers have been seen; the others are fetched."""
+    seen = {"customer": sides(t)["customer"].where("c_custkey % 2 = 0")}
+    return C.backfill(C.Join("orders", ("o_orderkey",), (CUSTOMER,)), sides(t), seen).select("o_orderkey", c("customer.c_name").alias("c_name"))
+
+
+@query("j22_no_backfill", BACKFILL + " AND c_custkey % 2 = 0")
+def _(t):
+    seen = {"customer": sides(t)["customer"].where("c_custkey % 2 = 0")}
+    return C.backfill(C.Join("orders", ("o_orderkey",), (CUSTOMER,)), sides(t), seen, "none").select("o_orderkey", c("customer.c_name").alias("c_name"))
 
 
 @query("j34_affected_keys", "SELECT o_orderkey FROM orders WHERE o_orderkey % 500 = 0 OR o_custkey % 300 = 1 OR o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_partkey % 800 = 5)")
@@ -228,14 +258,12 @@ def _(t):
 
 @query("j42_high_water", "SELECT 'orders:' || to_json([CAST(o_orderkey AS VARCHAR)]) AS doc_id, (SELECT max(event_id) FROM events) AS lsn FROM orders WHERE o_orderkey % 50 = 0")
 def _(t):
-    high = t.events.agg(F.max("event_id").alias("lsn"))
-    return t.orders.where("o_orderkey % 50 = 0").select(doc_id("orders", c("o_orderkey")).alias("doc_id")).join(F.broadcast(high))  # one row
+    return L.stamped(t.orders.where("o_orderkey % 50 = 0").select(doc_id("orders", c("o_orderkey")).alias("doc_id")), t.events, "event_id", "lsn")
 
 
 @query("j42_high_water_all", "SELECT 'orders:' || to_json([CAST(o_orderkey AS VARCHAR)]) AS doc_id, (SELECT max(event_id) FROM events) AS lsn FROM orders")
 def _(t):
-    high = t.events.agg(F.max("event_id").alias("lsn"))
-    return t.orders.select(doc_id("orders", c("o_orderkey")).alias("doc_id")).join(F.broadcast(high))  # one row
+    return L.stamped(t.orders.select(doc_id("orders", c("o_orderkey")).alias("doc_id")), t.events, "event_id", "lsn")
 
 
 @query("j22_backfill", "SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 25 = 0")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
+from ..sources.changes import bolt_bytes, bolt_duration, bson_document, current_row
 from .registry import query
 
 c = F.col
@@ -93,7 +94,7 @@ def _(t):
 @query("f18_value_compare", "SELECT o_custkey, string_agg(coalesce(CAST(nullif(o_orderkey % 5, 0) AS VARCHAR), 'null') , ',' ORDER BY nullif(o_orderkey % 5, 0) NULLS FIRST) AS s FROM orders GROUP BY o_custkey")
 def _(t):
     x = F.nullif(c("o_orderkey") % 5, F.lit(0))
-    arr = F.array_sort(F.collect_list(F.struct(x.isNotNull().alias("n"), x.alias("x"))))
+    arr = F.array_sort(F.collect_list(K.json_order(x)))
     return t.orders.groupBy("o_custkey").agg(F.array_join(F.transform(arr, lambda e: K.component_text(e["x"])), ",").alias("s"))
 
 
@@ -130,7 +131,7 @@ def _(t):
 @query("f26_lookup_values", "SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY CAST(l_partkey AS VARCHAR)) AS _lx_items_l_partkey FROM lineitem GROUP BY l_orderkey")
 def _(t):
     items = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_partkey")).alias("items"))
-    return items.select("l_orderkey", F.array_join(F.array_sort(F.transform("items", lambda x: x["l_partkey"].cast("string"))), ",").alias(K.lookup_field("items.l_partkey")))
+    return items.select("l_orderkey", F.array_join(K.lookup_values(c("items"), "l_partkey"), ",").alias(K.lookup_field("items.l_partkey")))
 
 
 @query("f27_json_pointer", "SELECT event_id, CAST(json_extract(props, '/k') AS VARCHAR) AS v, json_exists(props, '$.k') AS has, json_exists(props, '$.none') AS has_none, event_id % 2 = 0 AS has_null FROM events")
@@ -186,10 +187,32 @@ def _(t):
 @query("f08_current_row", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'old' WHEN event_type = 'signup' THEN 'payload' ELSE 'new' END AS r FROM events")
 def _(t):
     op = F.when(c("event_type") == "error", "delete").when(c("event_type") == "signup", "insert").otherwise("update")
-    return t.events.select("event_id", F.when(op == "delete", "old").when(op == "update", "new").otherwise("payload").alias("r"))
+    return t.events.select("event_id", current_row(op, F.lit("new"), F.lit("old"), F.lit("payload")).alias("r"))
+
+
+@query("f08_current_row_kinds", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'payload' WHEN 1 THEN 'new' WHEN 2 THEN 'payload' WHEN 3 THEN 'old' END AS r FROM events")
+def _(t):
+    """An insert, an update with and without ``new``, a delete, a truncate."""
+    op = F.element_at(F.array(*map(F.lit, ("insert", "update", "update", "delete", "truncate"))), (c("event_id") % 5 + 1).cast("int"))
+    return t.events.select("event_id", current_row(op, F.when(c("event_id") % 5 == 1, "new"), F.lit("old"), F.lit("payload")).alias("r"))
 
 
 @query("f19_projection", "SELECT c_name, c_custkey FROM customer")
 def _(t):
     have = t.customer
-    return have.select(*[x for x in ("c_name", "no_such", "c_custkey") if x in have.columns])
+    return have.select(*K.project(have.columns, ["c_name", "no_such", "c_custkey"]))
+
+
+@query("f16_bson_values", "SELECT event_id, '{\"id\":\"' || lpad(CAST(event_id AS VARCHAR), 24, '0') || '\",\"at\":\"' || strftime(epoch_ms(event_id * 1000000), '%Y-%m-%dT%H:%M:%SZ') || '\",\"p\":\"1.50\",\"n\":[' || user_id || ',2],\"s\":{\"t\":' || event_id || ',\"i\":1},\"x\":\"y\"}' AS doc FROM events")
+def _(t):
+    i = c("event_id").cast("string")
+    doc = F.concat(F.lit('{"id":{"$oid":"'), F.lpad(i, 24, "0"), F.lit('"},"at":{"$date":{"$numberLong":"'), i, F.lit('000000"}},"p":{"$numberDecimal":"1.50"},"n":[{"$numberLong":"'), c("user_id").cast("string"), F.lit('"},2],"s":{"$timestamp":{"t":'), i, F.lit(',"i":1}},"x":"y"}'))
+    keys = lambda x: F.from_json(x, "struct<id:string,at:string,p:string,n:array<long>,s:struct<t:long,i:long>,x:string>")
+    return t.events.select("event_id", F.to_json(keys(bson_document(doc))).alias("doc"))
+
+
+@query("f17_bolt_values", "SELECT event_id, 'P' || (60 + event_id % 7) || 'DT' || (event_id % 90000 // 3600) || 'H' || (event_id % 90000 % 3600 // 60) || 'M' || (event_id % 60) || 'S' AS d, '[' || (event_id % 256) || ',255]' AS b FROM events")
+def _(t):
+    d = bolt_duration(F.lit(2), c("event_id") % 7, c("event_id") % 90000)
+    raw = F.unhex(F.concat(F.lpad(F.hex(c("event_id") % 256), 2, "0"), F.lit("FF")))
+    return t.events.select("event_id", d.alias("d"), F.to_json(bolt_bytes(raw)).alias("b"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import keys as K
 from ..operators import graph as G
 from .registry import query
 
@@ -63,6 +64,25 @@ def _(t):
     return G.edge_anchors(changed, G.hot_endpoints(e, 100))
 
 
+@query("g06_hot_paths", "SELECT 'LIVES_IN' AS type, 'dst' AS side, 'n' || c_nationkey AS id FROM customer UNION SELECT 'PLACED', 'src', 'c' || o_custkey FROM orders WHERE o_orderkey IN (SELECT min(o_orderkey) FROM orders GROUP BY o_orderkey % 5)")
+def _(t):
+    """Few orders lead to few customers, which are far at src; PART_OF has both directions and is left out."""
+    few = t.orders.groupBy((c("o_orderkey") % 5).alias("m")).agg(F.min("o_orderkey").alias("o_orderkey"))
+    e = edges(t)
+    a = G.hot_far_ends(primaries(few, "o_orderkey", "o"), e, [G.parse_path("(p)<-[:PLACED]-(c)")], 100)
+    b = G.hot_far_ends(primaries(t.customer, "c_custkey", "c"), e, [G.parse_path("(p)-[:LIVES_IN]->(n)-[:PART_OF]->(r)"), G.parse_path("(p)-[:LIVES_IN]->(n)<-[:PART_OF]-(x)")], 100)
+    return a.unionByName(b)
+
+
+@query("g07_far_side", "SELECT DISTINCT a AS anchor FROM (SELECT 'PLACED/o' || o_orderkey AS a FROM orders WHERE o_orderkey % 50 = 0 UNION ALL SELECT 'o' || o_orderkey FROM orders WHERE o_orderkey % 50 = 0)")
+def _(t):
+    """The far end of an incoming hop is src; the near end stays though the same id is hot elsewhere."""
+    e = edges(t).where("type = 'PLACED'")
+    changed = e.join(t.orders.where("o_orderkey % 50 = 0").select(F.concat(F.lit("o"), c("o_orderkey").cast("string")).alias("dst")), "dst")
+    hot = e.select("type", F.lit("src").alias("side"), F.col("src").alias("id")).unionByName(e.select(F.lit("OTHER").alias("type"), F.lit("dst").alias("side"), F.col("dst").alias("id"))).distinct()
+    return G.edge_anchors(changed, hot)
+
+
 @query("g08_recompose_by_id", "SELECT 's' || s_suppkey AS p, 'n' || s_nationkey AS n1 FROM supplier WHERE s_nationkey = 5")
 def _(t):
     e = edges(t)
@@ -74,24 +94,23 @@ def _(t):
 
 @query("g09_coalesced_poll", "SELECT DISTINCT user_id FROM events WHERE event_id % 2 = 0")
 def _(t):
-    return t.events.where("event_id % 2 = 0").select("user_id").dropDuplicates(["user_id"])
+    return G.coalesced(t.events.where("event_id % 2 = 0"), "user_id", "event_id").select("user_id")
 
 
 @query("g09_coalesced_poll_all", "SELECT DISTINCT user_id FROM events")
 def _(t):
-    return t.events.select("user_id").dropDuplicates(["user_id"])
+    return G.coalesced(t.events, "user_id", "event_id").select("user_id")
 
 
 @query("g10_graph_tombstone", "SELECT 'supplier:s' || s_suppkey AS doc_id, 'delete' AS op FROM supplier WHERE s_suppkey % 9 = 0")
 def _(t):
-    return t.supplier.where("s_suppkey % 9 = 0").select(F.concat(F.lit("supplier:s"), c("s_suppkey").cast("string")).alias("doc_id"), F.lit("delete").alias("op"))
+    return G.node_tombstones(primaries(t.supplier.where("s_suppkey % 9 = 0"), "s_suppkey", "s"), "supplier")
 
 
 @query("g13_event_label", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'before' WHEN event_id % 3 = 1 THEN 'B' ELSE 'X' END AS label FROM events")
 def _(t):
     top = F.when(c("event_id") % 3 == 0, F.array().cast("array<string>")).when(c("event_id") % 3 == 1, F.array(F.lit("A"), F.lit("B"))).otherwise(F.array(F.lit("X")))
-    labels = F.when(F.size(top) > 0, top).otherwise(F.array(F.lit("before")))
-    return t.events.select("event_id", G.canonical_label(labels, ["B", "C"]).alias("label"))
+    return t.events.select("event_id", G.canonical_label(G.event_labels(top, F.array(F.lit("before"))), ["B", "C"]).alias("label"))
 
 
 @query("s19_graph_bootstrap", f"SELECT 'node' AS kind, count(*) AS n FROM (SELECT c_custkey FROM customer UNION ALL SELECT s_suppkey FROM supplier) UNION ALL SELECT 'edge', count(*) FROM {EDGES}")
@@ -107,7 +126,7 @@ def _(t):
 
 @query("s21_label_table", "SELECT o_orderkey, CASE o_orderstatus WHEN 'P' THEN 'pending' ELSE lower(o_orderstatus) END AS tab FROM orders")
 def _(t):
-    return t.orders.select("o_orderkey", F.coalesce(F.try_element_at(F.create_map(F.lit("P"), F.lit("pending")), c("o_orderstatus")), F.lower("o_orderstatus")).alias("tab"))
+    return t.orders.select("o_orderkey", K.label_table(c("o_orderstatus"), {"P": "pending"}).alias("tab"))
 
 
 @query("g14_fk_edges", "SELECT 'HAS/' || o_orderkey AS id, CAST(o_orderkey AS VARCHAR) AS src, CAST(nullif(o_custkey % 10, 0) AS VARCHAR) AS dst, CASE WHEN o_custkey % 10 = 0 THEN 'delete' ELSE 'upsert' END AS action FROM orders")

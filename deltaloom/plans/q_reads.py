@@ -92,7 +92,8 @@ def _(t):
 
 @query("t07_typed_response", "SELECT event_id, json_extract_string(props, '$.k') AS k, event_type AS __typename, 'js:' || event_id AS cursor FROM events")
 def _(t):
-    return t.events.select("event_id", F.get_json_object("props", "$.k").alias("k"), c("event_type").alias("__typename"), F.concat(F.lit("js:"), c("event_id").cast("string")).alias("cursor"))
+    cols = T.typed_response({"k": "$data.k"}, "props", c("event_type"), c("event_id"))
+    return t.events.select("event_id", *cols)
 
 
 @query("t09_envelope_validation", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'version' WHEN event_id % 3 = 0 THEN 'tenant' WHEN event_id % 2 = 0 THEN 'event' END AS reason FROM events")
@@ -103,7 +104,13 @@ def _(t):
 
 @query("t10_publish", "SELECT event_id, 2 AS schema_version, ts AS received_at FROM events")
 def _(t):
-    return t.events.select("event_id", F.lit(2).alias("schema_version"), c("ts").alias("received_at"))
+    return T.published(t.events, "event_id", c("ts")).select("event_id", "schema_version", "received_at")
+
+
+@query("t11_available_subjects", "SELECT * FROM (VALUES ('order.*'), ('view.>')) s(subject)")
+def _(t):
+    all_ = t.spark.createDataFrame([("order.*", []), ("view.>", ["t1", "t2"]), ("admin.>", ["t9"])], "subject string, tenants array<string>")
+    return T.available(all_, "t1").select("subject")
 
 
 @query("t18_retention", "SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id DESC) <= 300")

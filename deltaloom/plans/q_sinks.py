@@ -48,7 +48,7 @@ def _(t):
 
 @query("k12_record_document", "SELECT c_custkey AS source_id, 'customer:[\"' || c_custkey || '\"]' AS _src_id, CAST(c_nationkey AS VARCHAR) AS _lx_c_nationkey FROM customer")
 def _(t):
-    return t.customer.select(c("c_custkey").alias("source_id"), K.doc_id("customer", c("c_custkey")).alias("_src_id"), F.array(c("c_nationkey").cast("string"))[0].alias(K.lookup_field("c_nationkey")))
+    return t.customer.select(c("c_custkey").alias("source_id"), K.doc_id("customer", c("c_custkey")).alias("_src_id"), K.lookup_values(F.array(F.struct("c_nationkey")), "c_nationkey")[0].alias(K.lookup_field("c_nationkey")))
 
 
 @query("k16_ttl", "SELECT event_id FROM events WHERE epoch(ts)::BIGINT + 86400 > (SELECT max(epoch(date_trunc('second', ts))::BIGINT) FROM events)")
@@ -60,7 +60,7 @@ def _(t):
 @query("k17_view_source", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O'")
 def _(t):
     rows = t.orders.withColumn("namespace", F.lit("shop")).withColumn("relation", F.when(c("o_orderstatus") == "O", "orders").otherwise("other"))
-    return rows.where((c("namespace") == "shop") & (c("relation") == "orders")).select("o_orderkey")
+    return rows.where(S.view_source(c("namespace"), c("relation"), ("shop", "orders"))).select("o_orderkey")
 
 
 VIEW = {"all": [{"pointer": "/status", "in": ["O", "P"]}, {"pointer": "/none", "not_equals": "x"}, {"pointer": "/total", "exists": True}]}
@@ -143,6 +143,35 @@ def _(t):
 @query("k13_vector_distance", "SELECT vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS d FROM embeddings")
 def _(t):
     e = t.embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    q = e.where("vec_id = 0").select(c("v").alias("q"))  # the query vector: one row
-    return e.join(F.broadcast(q)).select("vec_id", F.round(1 - dot(c("v"), c("q")) / F.sqrt(dot(c("v"), c("v")) * dot(c("q"), c("q"))), 6).alias("d"))
+    q = e.where("vec_id = 0").agg(F.first("v")).scalar()
+    return e.withColumn("q", q).select("vec_id", F.round(S.vector_distance(c("v"), c("q")), 6).alias("d"))
+
+
+@query("k13_other_metrics", "SELECT vec_id, round(list_distance(e, q), 6) AS euclidean, round(-list_inner_product(e, q), 6) AS dot FROM (SELECT vec_id, embedding::DOUBLE[] AS e, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0) AS q FROM embeddings)")
+def _(t):
+    e = t.embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    q = e.where("vec_id = 0").agg(F.first("v")).scalar()
+    return e.withColumn("q", q).select("vec_id", *[F.round(S.vector_distance(c("v"), c("q"), m), 6).alias(m) for m in ("euclidean", "dot")])
+
+
+KINDS = ["circuit_breaking_exception", "cluster_block_exception", "es_rejected_execution_exception", "master_not_discovered_exception", "node_not_connected_exception", "snapshot_in_progress_exception", "unavailable_shards_exception", "document_parsing_exception", "mapper_parsing_exception", "strict_dynamic_mapping_exception", "illegal_argument_exception", "illegal_argument_exception", "illegal_argument_exception", "illegal_argument_exception", "process_cluster_event_timeout_exception", "index_not_found_exception"]
+
+
+@query("k05_outcome_types", "SELECT event_id, CASE WHEN event_id % 16 < 7 THEN 'transient' WHEN event_id % 16 < 13 THEN 'permanent' ELSE 'blocked' END AS o FROM events")
+def _(t):
+    """Every type with its outcome; an illegal argument by its reason."""
+    at = (c("event_id") % 16).cast("int")
+    kind = F.get(F.array(*map(F.lit, KINDS)), at)
+    reason = F.when(at == 10, "mapper [x] is taken").when(at == 11, "x cannot be changed").when(at == 12, "of a different type").when(at == 13, "unknown setting")
+    return t.events.select("event_id", S.outcome(F.lit(400), kind, F.lit("index"), reason).alias("o"))
+
+
+@query("k18_view_filter_values", "SELECT o_orderkey, o_orderkey % 4 = 1 AS a, o_orderkey % 4 <> 1 AS b, o_orderkey % 3 = 0 AS c, o_orderkey % 4 IN (1, 2) AS d, o_orderkey % 2 = 0 AS e FROM orders")
+def _(t):
+    """true is not "true", 5 is not "5", null is a value, digits name a member too."""
+    k = c("o_orderkey")
+    flag = F.when(k % 4 == 1, "true").when(k % 4 == 2, '"true"').when(k % 4 == 3, "1").otherwise("false")
+    text = F.concat(F.lit('{"flag":'), flag, F.lit(',"n":'), F.when(k % 3 == 0, "null").otherwise('"5"'), F.when(k % 2 == 0, ',"0":5}').otherwise("}"))
+    d = t.orders.select(k, F.parse_json(text).alias("doc"))
+    one = lambda **cond: S.view_filter({"all": [cond]})
+    return d.select("o_orderkey", one(pointer="/flag", equals=True).alias("a"), one(pointer="/flag", not_in=[True, 5]).alias("b"), (one(pointer="/n", equals=None) & one(pointer="/n", not_equals=5)).alias("c"), one(pointer="/flag", **{"in": [True, "true"]}).alias("d"), one(pointer="/0", equals=5).alias("e"))

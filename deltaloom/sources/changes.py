@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEBEZIUM_OPS = {"c": "insert", "r": "insert", "u": "update", "d": "delete"}
 
 
-def event_payload(op: Column, new: Column, old: Column) -> Column:
-    """Insert is the bare row, update {new,old}, delete {old} (S08); ``new`` and ``old`` are JSON text."""
+def event_payload(op: Column, new: Column, old: Column, cascade: Column | None = None, restart: Column | None = None) -> Column:
+    """Insert is the bare row, update {new,old}, delete {old}, truncate {cascade,restart_identity} (S08); ``new`` and ``old`` are JSON text."""
+    flag = lambda x: F.coalesce(F.lit(False) if x is None else x, F.lit(False)).cast("string")
+    cut = F.concat(F.lit('{"cascade":'), flag(cascade), F.lit(',"restart_identity":'), flag(restart), F.lit("}"))
+    return F.when(op == "truncate", cut).otherwise(_row_payload(op, new, old))
+
+
+def current_row(op: Column, new: Column, old: Column, payload: Column) -> Column:
+    """The row that an event speaks of: an insert's payload, an update's ``new`` or else its whole payload, a delete's
+    ``old``, nothing for a truncate (F08)."""
+    return F.when(op == "insert", payload).when(op == "update", F.coalesce(new, payload)).when(op == "delete", old)
+
+
+def _row_payload(op: Column, new: Column, old: Column) -> Column:
     return F.when(op == "insert", new).when(op == "update", F.concat(F.lit('{"new":'), new, F.lit(',"old":'), F.coalesce(old, F.lit("null")), F.lit("}"))).when(op == "delete", F.concat(F.lit('{"old":'), F.coalesce(old, F.lit("null")), F.lit("}")))
 
 
@@ -68,8 +82,110 @@ def flat_specs(tables: dict[str, tuple[str, ...]]) -> list[dict]:
     return [{"primary": t, "key": list(k)} for t, k in sorted(tables.items()) if k]
 
 
+def resync(tables: dict[str, DataFrame], wanted: list[str]) -> DataFrame:
+    """(t, n): rows that a resync of the wanted tables reads again; unknown tables are refused."""
+    if unknown := sorted(set(wanted) - set(tables)):
+        raise ValueError(f"unknown tables {unknown}")
+    parts = [tables[t].agg(F.lit(t).alias("t"), F.count("*").alias("n")) for t in wanted]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def change_stream(df: DataFrame, op: str, known: list[str], full: Column, deletes: list[str]) -> DataFrame:
+    """Events of known kinds that carry a whole document, and deletes, which need none."""
+    return df.where(F.col(op).isin(*known) & (full.isNotNull() | F.col(op).isin(*deletes)))
+
+
+def collection_scan(df: DataFrame, key: str, namespace: str) -> DataFrame:
+    """Documents with a key, without the store's own collections."""
+    return df.where(F.col(key).isNotNull() & ~F.col(namespace).startswith("system."))
+
+
+def without_marks(df: DataFrame, mark: Column, kinds: list[str]) -> DataFrame:
+    """Rows that are data, not marks of the given kinds: snapshot ends (S28), barriers."""
+    return df.where(~F.coalesce(mark.isin(*kinds), F.lit(False)))
+
+
+def from_kafka(df: DataFrame, mapping: str = "debezium", key_field: str | None = None) -> DataFrame:
+    """Rows of Spark's Kafka columns (key, value, topic, partition, offset, timestamp) as a change log: topic, partition,
+    offset, doc_key (key components), op, row. Messages that cannot be mapped are left out (S22)."""
+    text = df.select("topic", "partition", "offset", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+    if mapping == "debezium":
+        out = debezium(text)
+        return out.select("topic", "partition", "offset", key_components(F.coalesce(F.get_json_object("key", "$.payload"), "key")).alias("doc_key"), "op", "row").where("doc_key[0] is not null")
+    if mapping != "raw":
+        raise ValueError(f"mapping {mapping!r}")
+    op, key, bad = raw_topic(F.col("key"), F.col("value"), key_field)
+    return text.withColumn("op", op).withColumn("_k", key).withColumn("_bad", bad).where("_bad is null").select("topic", "partition", "offset", key_components(F.col("_k")).alias("doc_key"), "op", F.col("value").alias("row"))
+
+
+def bson_text(v: Column) -> Column:
+    """Extended JSON of a BSON value, as JSON text, to plain JSON text: object ids are hex, dates RFC 3339 in UTC, decimals
+    and longs text and numbers, timestamps {t,i}; anything else stays (F16). A whole document: ``bson_document``."""
+    get = lambda p: F.get_json_object(v, p)
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    date = F.coalesce(get("$['$date']['$numberLong']").try_cast("long"), get("$['$date']").try_cast("long"))
+    moment = F.concat(F.date_format(F.timestamp_millis(date), "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.pmod(date, F.lit(1000)) != 0, F.concat(F.lit("."), F.lpad(F.pmod(date, F.lit(1000)).cast("string"), 3, "0"))).otherwise(""), F.lit("Z"))
+    stamp = F.concat(F.lit('{"t":'), get("$['$timestamp'].t"), F.lit(',"i":'), get("$['$timestamp'].i"), F.lit("}"))
+    return F.coalesce(quoted(get("$['$oid']")), quoted(moment), quoted(F.when(get("$['$date']").try_cast("long").isNull(), get("$['$date']"))), quoted(get("$['$numberDecimal']")), get("$['$numberLong']"), get("$['$numberInt']"), get("$['$numberDouble']"), stamp, v)
+
+
+def bson_document(doc: Column) -> Column:
+    """A document of extended JSON with every member in plain form, nested arrays and documents to two levels (F16)."""
+
+    def whole(v: Column, depth: int) -> Column:
+        plain = bson_text(v)
+        if not depth:
+            return plain
+        items = F.from_json(v, "array<variant>")
+        names = F.json_object_keys(v)
+        member = lambda n: F.concat(F.to_json(F.array(n)).substr(F.lit(2), F.length(F.to_json(F.array(n))) - 2), F.lit(":"), whole(F.to_json(F.element_at(F.from_json(v, "map<string,variant>"), n)), depth - 1))
+        array = F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: whole(F.to_json(x), depth - 1)), ","), F.lit("]"))
+        body = F.concat(F.lit("{"), F.array_join(F.transform(names, member), ","), F.lit("}"))
+        marked = F.exists(F.coalesce(names, F.array().cast("array<string>")), lambda n: n.startswith("$"))
+        return F.when(v.startswith("["), array).when(v.startswith("{") & ~marked, body).otherwise(plain)
+
+    return whole(doc, 2)
+
+
+def bolt_duration(months: Column, days: Column, seconds: Column) -> Column:
+    """P{d}DT{h}H{m}M{s}S, a month counting 30 days."""
+    d = months * 30 + days
+    part = lambda x: x.cast("long").cast("string")
+    return F.concat(F.lit("P"), part(d), F.lit("DT"), part(F.floor(seconds / 3600)), F.lit("H"), part(F.floor(F.pmod(seconds, F.lit(3600)) / 60)), F.lit("M"), part(F.pmod(seconds, F.lit(60))), F.lit("S"))
+
+
+def bolt_bytes(c: Column) -> Column:
+    """Bytes as an array of numbers from 0 to 255."""
+    hexed = F.hex(c)
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(hexed) / 2, F.lit(1)).cast("int")), lambda i: F.conv(F.substr(hexed, i * 2 - 1, F.lit(2)), 16, 10).cast("int"))
+
+
+def unknown_relations(changes: DataFrame, catalog: DataFrame, relation: str = "relation") -> tuple[DataFrame, DataFrame]:
+    """(changes of known relations, one row for each unknown one with how many changes were skipped)."""
+    known = catalog.select(relation).distinct()
+    skipped = changes.join(known, relation, "left_anti").groupBy(relation).agg(F.count("*").alias("skipped"))
+    return changes.join(known, relation, "left_semi"), skipped
+
+
+def table_schemas(columns: DataFrame) -> DataFrame:
+    """(table, columns in ordinal order, primary key in key order, JSON columns) of a catalog's rows (table, column,
+    ordinal, type, key_ordinal, check): a column is JSON by its type or by a json_valid() check (S30)."""
+    names = lambda keep, by: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct(F.col(by).alias("o"), F.col("column").alias("c"))))), lambda x: x["c"])
+    checked = F.regexp_extract(F.lower(F.coalesce("check", F.lit(""))), r"json_valid\(`?(\w+)`?\)", 1) == F.lower("column")
+    return columns.groupBy("table").agg(names(F.lit(True), "ordinal").alias("columns"), names(F.col("key_ordinal").isNotNull(), "key_ordinal").alias("key"), names((F.lower("type") == "json") | checked, "ordinal").alias("json"))
+
+
 def ddl_tables(sql: str) -> list[str]:
-    """Tables that a DDL statement touches."""
+    """Tables that DDL statements touch; DROP and RENAME may name several, RENAME its new names too."""
     import re
 
-    return [m.replace("`", "") for m in re.findall(r"\b(?:ALTER|DROP|CREATE|RENAME|TRUNCATE)\s+(?:TEMPORARY\s+)?TABLE\s+(?:IF\s+(?:NOT\s+)?EXISTS\s+)?([`\w.]+)", sql, re.I)]
+    out, name = [], r"[`\w.]+"
+    for verb, rest in re.findall(r"\b(ALTER|DROP|CREATE|RENAME|TRUNCATE)\s+(?:TEMPORARY\s+)?TABLES?\s+(?:IF\s+(?:NOT\s+)?EXISTS\s+)?([^;]*)", sql, re.I):
+        if verb.upper() == "RENAME":
+            found = [x for pair in re.findall(rf"({name})\s+TO\s+({name})", rest, re.I) for x in pair]
+        elif verb.upper() == "DROP":
+            found = re.findall(rf"(?:\A|,)\s*({name})", rest)
+        else:
+            found = re.findall(rf"\A\s*({name})", rest)
+        out += [x.replace("`", "") for x in found]
+    return out
