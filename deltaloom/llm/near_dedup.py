@@ -111,7 +111,7 @@ def numbered(classes: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    return np.stack([np.frombuffer(r, "<u2") for r in column.to_pylist()]).astype(np.int32)
+    return np.stack([np.frombuffer(r, "<u2") for r in column.to_pylist()])
 
 
 def floor_of(percent: int, registers: int) -> float:
@@ -206,6 +206,9 @@ def alike(left: np.ndarray, right: np.ndarray, joined: np.ndarray, size: np.ndar
         a, b = a[keep], b[keep]
         for j in range(0, len(a), PAIRS):
             x, y = a[j : j + PAIRS], b[j : j + PAIRS]
+            # The share of equal registers is an estimate too, and a cheap one.
+            some = (regs[x] == regs[y]).sum(axis=1) >= floor_of(percent, sketch.size) * sketch.size
+            x, y = x[some], y[some]
             ok = sketch.jaccard(regs[x], regs[y], size[x], size[y]) >= floor_of(percent, sketch.size)
             found_a.append(x[ok])
             found_b.append(y[ok])
@@ -321,8 +324,8 @@ def near_duplicates(df: DataFrame, percent: int, id_col: str = "doc_id", text_co
     buckets = band_keys(classes, band_rows_for(percent))
     hubs = buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("bucket", "hub")
     stars = park(buckets.join(hubs, "bucket").where("node <> hub").select("hub", "node").distinct(), "stars")
-    sketches = classes.select("node", "n_shingles", "registers")
-    texts = texts_of(df, classes, stars.select("node").unionByName(stars.select(F.col("hub").alias("node"))), id_col, text_col)
+    members = members_of(df, all_, classes, stars.select("node").unionByName(stars.select(F.col("hub").alias("node"))), id_col, text_col)
+    sketches, texts = members.select("node", "n_shingles", "registers"), members.select("node", "text")
 
     estimates = park(star_estimates(by_star(stars).join(sketches, "node")), "estimates")
     likely = estimates.where(F.col("estimate") >= floor_of(percent, REGISTERS)).select("hub", "node")
@@ -333,9 +336,9 @@ def near_duplicates(df: DataFrame, percent: int, id_col: str = "doc_id", text_co
     exact, about, error = 1 - F.col("shared") / F.col("either"), 1 - F.col("estimate"), ERRORS * (0.25 / REGISTERS) ** 0.5
     low, high = F.coalesce(exact, F.greatest(about - error, F.lit(0.0))), F.coalesce(exact, F.least(about + error, F.lit(1.0)))
     bounded = estimates.join(distances, ["hub", "node"], "left").select("hub", "node", low.alias("low"), high.alias("high"))
-    blocks = park(open_blocks(bounded, joined, classes.select("node", "n_shingles"), percent), "block-rows")
+    blocks = park(open_blocks(bounded, joined, members.select("node", "n_shingles"), percent), "block-rows")
     left = park(survivors(blocks.join(sketches, "node"), percent), "survivors")
-    rows = blocks.join(left, ["task", "side", "node"], "left_semi").join(sketches, "node").join(texts, "node")
+    rows = blocks.join(left, ["task", "side", "node"], "left_semi").join(members.select("node", "registers", "text"), "node")
     final = components(links.unionByName(park(confirmed(rows, percent), "links")))
 
     label = named(classes, classes.select("node", "set_key").join(final, "node", "left").select("node", "set_key", F.coalesce("component", "node").alias("component")), plain)
@@ -359,12 +362,15 @@ def named(classes: DataFrame, grouped: DataFrame, plain: bool) -> DataFrame:
     return joined.select("set_key", "component", F.when(F.col("odd"), F.col("smallest")).otherwise(F.col("component")).alias("component_id"))
 
 
-def texts_of(df: DataFrame, classes: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, text): one text of each class in ``nodes``; the only exchange of the table's texts."""
-    rows = classes.select("node", "row.id", "row.text_hash").join(nodes.distinct(), "node", "left_semi")
+def members_of(df: DataFrame, rows: DataFrame, classes: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, n_shingles, registers, text): the classes in ``nodes``, with one text each; the only exchange of the table's texts."""
+    wanted = classes.select("node", "row.id", "row.text_hash", "n_shingles", "registers").join(nodes.distinct(), "node", "left_semi")
     texts = keyed_texts(df, id_col, text_col)
-    same = texts["id"].eqNullSafe(rows["id"]) & (texts["text_hash"] == rows["text_hash"])
-    return park(texts.join(rows, same).select("node", "text").dropDuplicates(["node"]), "texts")
+    same = texts["id"].eqNullSafe(wanted["id"]) & (texts["text_hash"] == wanted["text_hash"])
+    out = texts.join(wanted, same).select("node", "n_shingles", "registers", "text")
+    if not rows.groupBy("id", "text_hash").count().where("count > 1").isEmpty():  # repeated rows
+        out = out.dropDuplicates(["node"])
+    return park(out, "members")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
