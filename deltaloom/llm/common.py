@@ -17,12 +17,19 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of an Arrow batch that goes to Python; a longer row is a batch of its own.
 BATCH = 8 << 20
+#: Folders of parked tables that have not been removed.
+PARKED: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset in local mode.
+
+    On a cluster a folder of the driver's machine would lose rows, so an unset one is an error there.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="deltaloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -33,11 +40,34 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def park(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors, and prunes columns later."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors, and prunes columns later.
+
+    Results read these tables when they are run, so they stay until ``unpark`` or ``release``.
+    """
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.parked = path
+    PARKED.add(path)
+    return out
+
+
+def unpark(df: DataFrame) -> None:
+    """Removes a parked table that nothing reads any more."""
+    remove(df.sparkSession, df.parked)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    PARKED.discard(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all parked tables of this process: to be called when the results that read them have been written."""
+    for path in list(PARKED):
+        remove(spark, path)
 
 
 def wide(spark: SparkSession) -> int:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import park
+from .common import park, unpark
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,7 +32,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges = park(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = None
     for _ in range(rounds):
+        last = edges
         edges = park(_star(_star(edges, large=True), large=False), "edges")
+        unpark(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

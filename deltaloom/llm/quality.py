@@ -5,7 +5,7 @@ It is fitted on the driver to a sample of at most ``sample_rows`` labelled rows
 is those of smallest id hash), and scores whole texts in one scan with the model of fixed size sent along.
 
 Defined cases: null or empty text has no words and its own statistics, and gets a score; null labels are not learnt;
-repeated rows are scored each; with no usable label every score is 0.5; an empty table gives an empty result; further
+repeated rows are scored each (of the texts of one id the least is learnt); with no usable label every score is 0.5; an empty table gives an empty result; further
 columns are ignored.
 """
 
@@ -155,6 +155,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("y"))
     sample = usable.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id")  # bounded by sample_rows
+    rows = rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("text").alias("text"))  # an id that is repeated counts once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -165,7 +166,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
                     value.append(row[at[-1]])
             yield pa.record_batch([b.column("doc_id"), b.column("y"), pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], names=["doc_id", "y", "at", "value"])
 
-    got = sorted(arrow_map(rows, run, "doc_id long, y int, at array<int>, value array<float>").collect())[:sample_rows]
+    got = sorted(arrow_map(rows, run, "doc_id long, y int, at array<int>, value array<float>").collect())
     x = np.zeros((len(got), FEATURES), np.float32)
     for i, r in enumerate(got):
         x[i, r.at] = r.value

@@ -20,6 +20,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,8 @@ from .common import arrow_map, park, read, shared_path, text_of, wide
 from .units import encoder, vocabulary_size
 
 MAGIC = b"DLTOKEN1"
-BLOCK_IDS = 1 << 16
+#: Ids of a block; documents that a reader returns at once.
+BLOCK_IDS, ROWS = 1 << 16, 10_000
 
 
 def pack_bits(ids: np.ndarray, width: int) -> bytes:
@@ -143,19 +145,26 @@ def write_tokens(df: DataFrame, folder: str, path: str, end_id: int, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, writer, store, sink, name = TaskContext.get().partitionId(), None, None, None, ""
-        encode = encoder(path, newline_splits)
-        for b in batches:
-            if writer is None and len(b):
-                store, root = fs.FileSystem.from_uri(folder)
-                store.create_dir(root, recursive=True)
-                name = f"{shard:08d}-{uuid.uuid4().hex}.dlt"
-                sink = store.open_output_stream(f"{root}/{name}")
-                writer = Writer(sink, vocabulary_size(path))
-            for doc_id, ids in zip(b.column("id").to_pylist(), encode(b.column("text")), strict=True):
-                writer.add(doc_id, np.append(ids, ids.dtype.type(end_id)))
+        encode, whole = encoder(path, newline_splits), False
+        try:
+            for b in batches:
+                if writer is None and len(b):
+                    store, root = fs.FileSystem.from_uri(folder)
+                    store.create_dir(root, recursive=True)
+                    name = f"{shard:08d}-{uuid.uuid4().hex}.dlt"
+                    sink = store.open_output_stream(f"{root}/{name}")
+                    writer = Writer(sink, vocabulary_size(path))
+                for doc_id, ids in zip(b.column("id").to_pylist(), encode(b.column("text")), strict=True):
+                    writer.add(doc_id, np.append(ids, ids.dtype.type(end_id)))
+            if writer is not None:
+                writer.close()
+            whole = True
+        finally:
+            if sink is not None:
+                sink.close()
+                if not whole:  # a task that fails leaves no half file
+                    store.delete_file(f"{root}/{name}")
         if writer is not None:
-            writer.close()
-            sink.close()
             yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([len(writer.ids)], pa.int64()), pa.array([writer.n_ids], pa.int64())], names=["shard", "path", "n_docs", "n_ids"])
 
     narrow = df.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
@@ -179,9 +188,10 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, checksums: bool = True
                 store, file = fs.FileSystem.from_uri(name)
                 with store.open_input_file(file) as source:
                     reader = Reader(source)
-                    n = np.diff(reader.starts)
-                    sums = [zlib.crc32(ids.astype("<u4").tobytes()) for _, ids in reader.documents()]
-                    yield pa.record_batch([pa.array(reader.doc_ids, pa.int64()), pa.array(reader.starts[:-1] + base), pa.array(n), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    sums = (zlib.crc32(ids.astype("<u4").tobytes()) for _, ids in reader.documents())
+                    for i in range(0, reader.n_docs, ROWS):
+                        starts = reader.starts[i : i + ROWS + 1]
+                        yield pa.record_batch([pa.array(reader.doc_ids[i : i + ROWS], pa.int64()), pa.array(starts[:-1] + base), pa.array(np.diff(starts)), pa.array(list(islice(sums, ROWS)), pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     listed = spark.createDataFrame(files, "path string, base long").repartition(max(1, len(files)), "path")
     return arrow_map(listed, run, "doc_id long, start long, n_tokens long, ids_crc32 long")

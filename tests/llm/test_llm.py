@@ -494,6 +494,52 @@ def test_op10_digests(spark, tmp_path):
         assert (got[d].n_chars, got[d].edited_sha256) == (len(t), hashlib.sha256(e.encode()).hexdigest())
 
 
+def test_pipeline_near_stage_with_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline as c
+
+    r = random.Random(14)
+    text = lambda: " ".join(f"w{r.randrange(5000)}" for _ in range(120))
+    a, b, d, e = text(), text(), text(), text()
+    rows = [(None, a), (None, a), (None, a + " x"), (1, b), (1, d), (3, d + " z"), (0, b + " q"), (4, e), (4, e), (None, ""), (None, ""), (5, None), (5, None), (6, ""), (7, text())]
+    docs = spark.createDataFrame([(*x, i % 2) for i, x in enumerate(rows)], "doc_id long, text string, id int")
+    got = c.near_stage(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    kept = collections.Counter((x.doc_id, x.text) for x in got.collect())
+    assert kept.pop((None, a), 0) + kept.pop((None, a + " x"), 0) == 1
+    assert kept == {(0, b + " q"): 1, (1, d): 1, (4, e): 1, (None, ""): 2, (5, None): 1, (6, ""): 1, (7, rows[-1][1]): 1}
+
+
+def test_shared_folder_must_be_set_on_a_cluster():
+    from types import SimpleNamespace
+
+    from deltaloom.llm.common import shared_root
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_root(cluster)
+
+
+def test_parked_tables_are_removed(spark, docs):
+    import os
+
+    from deltaloom.llm.common import park, release, unpark
+
+    one, two = park(docs, "one"), park(docs, "two")
+    assert os.path.isdir(one.parked.removeprefix("file:")) and one.count() == docs.count()
+    unpark(one)
+    assert not os.path.isdir(one.parked.removeprefix("file:")) and two.count() == docs.count()
+    release(spark)
+    assert not os.path.isdir(two.parked.removeprefix("file:"))
+
+
+def test_quality_learns_a_repeated_id_once(spark):
+    docs = spark.createDataFrame([(1, "good words here") for _ in range(50)] + [(4, "!!! ###")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (4, 0), (1, 1)], "doc_id long, quality int")
+    model = quality.learn(docs, labels, sample_rows=2)
+    assert np.isfinite(model.w).all() and quality.score(docs, model).count() == 51
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as c
 
