@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaloom.llm import line_dedup, near_dedup, packing, quality
-from deltaloom.llm.common import park, shared_path
+from deltaloom.llm.common import park, shared_path, text_of
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,14 +32,22 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked at a similarity of 0.8 the one of smallest id stays; of repeated rows, one."""
-    found = near_dedup.near_duplicates(docs, percent=80)
-    gone = park(found.where("not kept").select("doc_id").distinct(), "gone")
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = park(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id"), "again")
+    """Of each group of documents linked at a similarity of 0.8 one stays: that of the smallest id (nulls last, then of
+    the least text hash). Rows are told apart by id and text, so no other text of an id goes; of repeated rows one stays,
+    but rows without an id and without words are linked with nothing and all stay."""
+    found = park(near_dedup.near_duplicates(docs, percent=80), "found")
+    row = F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
+    first = found.where("component is not null").groupBy("component").agg(F.min(row).alias("first"))
+    gone = found.join(first, "component").where(~row.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    same = lambda other: docs["doc_id"].cast("long").eqNullSafe(other["__id"]) & (F.xxhash64(text_of("text")) == other["__hash"])
+    gone = park(gone.distinct(), "gone")
+    left = docs.join(gone, same(gone), "left_anti")
+    repeated = found.where("doc_id is not null or n_shingles > 0").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.count("*").alias("n")).where("n > 1")
+    again = park(repeated.select("__id", "__hash"), "again")
     if again.isEmpty():
-        return left
-    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(left.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+        return left.select(*docs.columns)
+    once = left.join(again, same(again), "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return left.join(again, same(again), "left_anti").select(*docs.columns).unionByName(once)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
