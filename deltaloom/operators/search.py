@@ -16,10 +16,13 @@ from ..functions.keys import glob_regex, parse_sort
 TOKEN = re.compile(r'\s*(\(|\)|AND\b|OR\b|NOT\b|[A-Za-z_][\w.]*:\[[^\]]*\]|[A-Za-z_][\w.]*:"[^"]*"|"[^"]*"|[^\s()]+)')
 
 
-def clause(token: str, text: list[str]) -> Column:
+def clause(token: str, text: list[str], columns: list[str] | None = None) -> Column:
+    """A field that the documents do not have matches nothing."""
     fields, value = text, token
     if m := re.match(r'([A-Za-z_][\w.]*):(.+)', token, re.S):
         fields, value = [m[1]], m[2]
+        if columns is not None and m[1].split(".")[0] not in columns:
+            return F.lit(False)
     if m := re.match(r"\[(\S+) TO (\S+)\]", value):
         c = F.col(fields[0])
         lo = F.lit(True) if m[1] == "*" else c >= F.lit(m[1])
@@ -32,7 +35,7 @@ def clause(token: str, text: list[str]) -> Column:
     return out
 
 
-def compile_query(q: str, text: list[str]) -> Column:
+def compile_query(q: str, text: list[str], columns: list[str] | None = None) -> Column:
     tokens, at = TOKEN.findall(q), 0
 
     def any_() -> Column:
@@ -67,7 +70,7 @@ def compile_query(q: str, text: list[str]) -> Column:
             return out
         if t in ("AND", "OR", ")"):
             raise ValueError(f"unexpected {t}")
-        return clause(t, text)
+        return clause(t, text, columns)
 
     if not tokens:
         return F.lit(True)
@@ -80,14 +83,42 @@ def compile_query(q: str, text: list[str]) -> Column:
 def search(docs: DataFrame, q: str, text: list[str], sort: str | None = None, limit: int = 10, most: int = 100, id_col: str = "doc_id") -> DataFrame:
     """limit is clamped to 1..most; ties by document id (R03, R04). Plans as TakeOrderedAndProject."""
     field, down = parse_sort(sort) if sort else (id_col, False)
-    return docs.where(compile_query(q, text)).orderBy(F.col(field).desc() if down else F.col(field).asc(), id_col).limit(max(1, min(limit, most)))
+    return docs.where(compile_query(q, text, docs.columns)).orderBy(F.col(field).desc() if down else F.col(field).asc(), id_col).limit(max(1, min(limit, most)))
+
+
+def key_filter(docs: DataFrame, doc_id: str, keys: list[str]) -> Column:
+    """The key columns of an id as typed literals, so that a look-up reaches the scan; an id of another form matches nothing."""
+    import json
+
+    try:
+        parts = json.loads(doc_id.partition(":")[2])
+    except ValueError:
+        parts = None
+    if not isinstance(parts, list) or len(parts) != len(keys) or not all(isinstance(p, str) for p in parts):
+        return F.lit(False)
+    out = F.lit(True)
+    for k, p in zip(keys, parts):
+        kind = docs.schema[k].dataType.typeName()
+        if kind in ("long", "integer", "short", "byte"):
+            if not re.fullmatch(r"0|-?[1-9][0-9]{0,18}", p):
+                return F.lit(False)
+            out = out & (F.col(k) == F.lit(int(p)))
+        elif kind == "string":
+            out = out & (F.col(k) == F.lit(p))
+        else:
+            out = out & (F.col(k).cast("string") == F.lit(p))
+    return out
 
 
-def get_entity(docs: DataFrame, doc_id: str) -> DataFrame:
-    return docs.where(F.col("doc_id") == doc_id)
+def get_entity(docs: DataFrame, doc_id: str, keys: list[str] | None = None) -> DataFrame:
+    """With ``keys``, the columns that the id is made of, no other row group is read than the key may be in."""
+    return docs.where(F.col("doc_id") == doc_id) if keys is None else docs.where(key_filter(docs, doc_id, keys) & (F.col("doc_id") == doc_id))
 
 
 def scan(docs: DataFrame, glob: str, limit: int, most: int = 1000) -> DataFrame:
+    """The glob's literal beginning is a prefix filter, which a stored doc_id column takes to the scan."""
+    literal = re.match(r"[^*?]*", glob)[0]
+    docs = docs.where(F.col("doc_id").startswith(literal)) if literal else docs
     return docs.where(F.col("doc_id").rlike(glob_regex(glob))).orderBy("doc_id").limit(max(1, min(limit, most)))
 
 

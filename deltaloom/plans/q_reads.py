@@ -18,7 +18,7 @@ def docs(t):
 
 @query("r02_get_entity", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey = 42")
 def _(t):
-    return S.get_entity(docs(t), 'orders:["42"]').select("o_orderkey", "o_orderstatus")
+    return S.get_entity(docs(t), 'orders:["42"]', ["o_orderkey"]).select("o_orderkey", "o_orderstatus")
 
 
 @query("r03_search", r"SELECT doc_id FROM documents WHERE (regexp_matches(text, '(?i)\bthe\b') AND regexp_matches(text, '(?i)\bof\s+the\b') AND NOT lang = 'fr') OR regexp_matches(text, '(?i)\bapache\s+license\b') ORDER BY n_chars DESC, doc_id LIMIT 50")

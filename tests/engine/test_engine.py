@@ -247,3 +247,59 @@ def test_a_batch_rewrites_only_the_buckets_it_touches(spark, tmp_path):
         assert n == 0 or len(where) == 1 and sum(b == n for b in m["t"].values()) == 1
     assert {(x.k, x.v) for x in store.read(store.manifest(), "t", "k int, v int").collect()} == {(k, k if 0 < k < 4 else -1) for k in range(40)}
     assert store.versions() == [2, 3]
+
+
+def test_point_look_ups_reach_the_scan(spark):
+    docs = spark.read.parquet(f"{SF}/orders.parquet").withColumn("doc_id", K.doc_id("orders", F.col("o_orderkey")))
+    one = S.get_entity(docs, 'orders:["42"]', ["o_orderkey"])
+    assert "EqualTo(o_orderkey,42)" in one._jdf.queryExecution().executedPlan().toString() and one.count() == S.get_entity(docs, 'orders:["42"]').count()
+    for bad in ('orders:["042"]', 'orders:["x"]', "orders:[42]", "orders", 'orders:["1","2"]'):
+        assert S.get_entity(docs, bad, ["o_orderkey"]).count() == 0
+
+
+def test_unknown_fields_match_nothing(spark):
+    docs = spark.createDataFrame([("1", "a fox")], "doc_id string, text string")
+    assert S.search(docs, "colour:red", ["text"]).count() == 0 and S.search(docs, "colour:red OR fox", ["text"]).count() == 1
+
+
+def test_bad_index_names_are_errors(spark):
+    df = spark.createDataFrame([("_x",), ("ok",)], "u string").select(K.index_name("${header:u}", F.lit("a.b"), F.current_timestamp(), {"u": F.col("u")}).alias("ix"))
+    with pytest.raises(Exception, match="bad index name"):
+        df.collect()
+
+
+def test_yaml_specs(tmp_path):
+    (tmp_path / "t").write_text("shop-v2\n")
+    text = f"version: 1\njoins:\n- primary: orders\n  key: [id]\n  target: file:{tmp_path}/t\n  name: env:WHO\n"
+    got = C.load_spec(text, {"WHO": "me"})
+    assert (got[0].target, got[0].name, got[0].key) == ("shop-v2", "me", ("id",))
+    for bad in (text, text.replace("version: 1", "version: 2"), text + "other: 1\n"):
+        with pytest.raises(ValueError):
+            C.load_spec(bad, {} if bad == text else {"WHO": "me"})
+
+
+def test_projection_texts():
+    assert G.check_projection("MATCH (p) RETURN elementId(p) AS primaryEid, {a: 'SET x'} AS doc // DELETE") == []
+    assert G.check_projection("MATCH (p) SET p.x = 1 RETURN p AS doc") == ["write keyword SET", "no column primaryEid"]
+    assert G.hop_report(["(p)-[:A]->(x)-[:B]->(y)"], 1)["warning"] and not G.hop_report(["(p)-[:A]->(x)"], 1)["warning"]
+
+
+def test_ddl_of_several_tables():
+    assert changes.ddl_tables("DROP TABLE a, `s`.`b`; RENAME TABLE c TO d, e TO f; TRUNCATE TABLE g") == ["a", "s.b", "c", "d", "e", "f", "g"]
+
+
+def test_table_schemas(spark):
+    rows = [("t", "b", 2, "int", 1, None), ("t", "a", 1, "longtext", None, "json_valid(`a`)"), ("t", "c", 3, "json", 0, None), ("u", "x", 1, "int", None, None)]
+    got = {r.table: (r.columns, r.key, r.json) for r in changes.table_schemas(spark.createDataFrame(rows, "table string, column string, ordinal int, type string, key_ordinal int, check string")).collect()}
+    assert got == {"t": (["a", "b", "c"], ["c", "b"], ["a", "c"]), "u": (["x"], [], [])}
+
+
+def test_precise_rejection(spark):
+    df = lambda *x: spark.createDataFrame([(i,) for i in x], "offset long")
+    why = lambda d, n: L.precise_rejection(d, n, 0, 9).first().why
+    assert (why(df(1, 2), 2), why(df(1, 2), 3), why(df(1, 1), 2), why(df(1, 12), 2)) == (None, "count", "repeated", "range")
+
+
+def test_batches_by_age(spark):
+    rows = spark.createDataFrame([(i, "a", 1, datetime.datetime(2024, 1, 1, 0, 0, s)) for i, s in enumerate((0, 3, 9, 10, 11, 30))], "n int, lane string, b int, at timestamp")
+    assert [r.batch for r in L.sized_batches(rows, "n", ["lane"], 3, 100, "b", "at", 10).orderBy("n").collect()] == [0, 0, 0, 1, 1, 2]
