@@ -41,7 +41,7 @@ from .units import slices
 _U = np.uint64
 #: Bytes of text that are sampled at once; words whose lattices are built, and drawn from, at once; words whose lattices
 #: a worker keeps; new nodes of a path that are drawn at once.
-SLICE, BUILD, WALK, KEEP, AHEAD = 2 << 20, 8192, 1 << 15, 200_000, 64
+SLICE, BUILD, WALK, KEEP, AHEAD = 2 << 20, 8192, 1 << 15, 120_000, 64
 #: The largest number that ``gumbel`` gives is below this; a rest of a word's probability that is summed up, not taken
 #: from 1; draws of a word before it is drawn from the rest of its probability.
 TOP, RARE, TRIES = 36.75, 1e-10, 4
@@ -105,6 +105,16 @@ class Graph:
         return Graph(*map(np.concatenate, joined))
 
 
+    def only_words(self, words: np.ndarray) -> Graph:
+        stop = np.append(self.start[1:], len(self.first) - 1)
+        a, b = self.start[words], stop[words]
+        node, edge = spans(a, b), spans(self.first[a], self.first[b])
+        start = np.cumsum(b - a) - (b - a)
+        to = np.where(self.to[edge] < 0, -1, self.to[edge] + np.repeat(start - a, self.first[b] - self.first[a])).astype(np.int32)
+        first = np.concatenate([[0], np.cumsum(self.first[node + 1] - self.first[node])])
+        return Graph(start, first, to, self.symbol[edge], self.pick[edge], self.logp[edge], self.only[words])
+
+
 class Lattice:
     def __init__(self, path: str, alpha: float):
         import sentencepiece
@@ -129,7 +139,7 @@ class Lattice:
         self.known: dict[str, int] = {}
         self.kept: Graph | None = None
         self.feeds = not any("\n" in p and len(p) > 1 for p in pieces)
-        # The trie of the pieces: the state after a first character, then sorted keys (state, character).
+        # The trie of the pieces: the state after a first character, then an open hash table of keys (state, character).
         states: dict[tuple[int, int], int] = {}
         ends: dict[int, int] = {}
         for p, i in pieces.items():
@@ -138,9 +148,13 @@ class Lattice:
                 at = states.setdefault((at, ord(c)), len(states))
             ends[at] = i
         self.root = np.full(0x110000, -1, np.int32)
+        size = 1 << (2 * len(states)).bit_length()
+        self.slots, self.states = np.full(size, -1, np.int64), np.zeros(size, np.int32)
         keys = np.array([(s + 1) << 21 | c for s, c in states], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.next = keys[order], np.arange(len(keys), dtype=np.int32)[order]
+        for i, (key, at) in enumerate(zip(keys.tolist(), self.slot(keys).tolist())):
+            while self.slots[at] >= 0:
+                at = (at + 1) & (size - 1)
+            self.slots[at], self.states[at] = key, i
         for (s, c), at in states.items():
             if s < 0:
                 self.root[c] = at
@@ -153,10 +167,12 @@ class Lattice:
         self.texts = pa.array([bytes([value[i]]) if i in value else sp.id_to_piece(i).replace("▁", " ").encode() for i in range(n)], pa.binary())
 
     def lookup(self, words: list[str]) -> tuple[Graph, np.ndarray]:
-        """A graph that has ``words``, and their places in it; a worker keeps it while it has no more than KEEP words."""
+        """A graph that has ``words``, and their places in it. Beyond KEEP words a worker keeps those that are wanted now."""
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > KEEP:
-            self.known, self.kept, new = {}, None, words
+            still = [w for w in words if w in self.known]
+            self.kept = self.kept.only_words(np.array([self.known[w] for w in still])) if still else None
+            self.known = {w: i for i, w in enumerate(still)}
         for i in range(0, max(1, len(new)), BUILD):
             part = self.graph(new[i : i + BUILD])
             self.kept = part if self.kept is None else self.kept.plus(part)
@@ -164,6 +180,22 @@ class Lattice:
             self.known[w] = len(self.known)
         return self.kept, np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return (key * 0x9E3779B97F4A7C1 >> 40) & (len(self.slots) - 1)
+
+    def after(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The trie's states after one more character each, -1 if there is none."""
+        key = (state + 1) << 21 | char
+        out, at = np.full(len(key), -1, np.int32), self.slot(key)
+        wait = np.arange(len(key))
+        while len(wait):
+            have = self.slots.take(at)
+            hit = np.flatnonzero(have == key.take(wait))
+            out[wait.take(hit)] = self.states.take(at.take(hit))
+            on = np.flatnonzero((have != key.take(wait)) & (have >= 0))
+            wait, at = wait.take(on), (at.take(on) + 1) & (len(self.slots) - 1)
+        return out
+
     def graph(self, words: list[str]) -> Graph:
         flat = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
         size = np.fromiter(map(len, words), np.int64, len(words))
@@ -175,10 +207,11 @@ class Lattice:
         at, state = np.arange(n), self.root[flat]
         for length in range(1, self.longest + 1):
             live = state >= 0
-            at, state = at[live], state[live]
-            piece = self.piece[state]
-            here = at[piece >= 0]
-            symbols = piece[piece >= 0].astype(np.int64)
+            live = np.flatnonzero(live)
+            at, state = at.take(live), state.take(live)
+            piece = self.piece.take(state)
+            ends = np.flatnonzero(piece >= 0)
+            here, symbols = at.take(ends), piece.take(ends).astype(np.int64)
             if length == 1:
                 alone = np.ones(n, bool)
                 alone[here] = False
@@ -186,16 +219,14 @@ class Lattice:
                 here, symbols = np.concatenate([here, alone]), np.concatenate([symbols, np.where(flat[alone] < 128, single[flat[alone] & 127], self.size + flat[alone])])
             source.append(here)
             symbol.append(symbols)
-            more = at + length < stop[at]
-            at, state = at[more], state[more]
+            more = np.flatnonzero(at + length < stop.take(at))
+            at, state = at.take(more), state.take(more)
             if not len(at):
                 break
-            key = (state.astype(np.int64) + 1) << 21 | flat[at + length]
-            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            state = np.where(self.keys[place] == key, self.next[place], -1)
+            state = self.after(state.astype(np.int64), flat.take(at + length))
         count = np.zeros(n, np.int64)
         for here in source:
-            count[here] += 1
+            count[here] += 1  # a place is in one list at most once
         first = np.concatenate([[0], np.cumsum(count)])
         out_symbol, to = np.zeros(first[-1], np.int64), np.zeros(first[-1], np.int64)
         filled = first[:-1].copy()
@@ -215,8 +246,8 @@ class Lattice:
         cut = np.flatnonzero(np.cumsum(crossed) == 0)
         nodes = np.arange(n)
         far = cut[np.searchsorted(cut, nodes, "right")] - nodes if n else nodes
-        is_cut = np.zeros(n + 1, bool)
-        is_cut[cut] = True
+        within = np.ones(n + 1)
+        within[cut] = 0.0
         suffix, logp = np.zeros(n + 1), np.zeros(first[-1])
         most = int(far.max(initial=0))
         order = np.argsort(far.astype(np.uint16) if most < 1 << 16 else far, kind="stable")
@@ -225,10 +256,11 @@ class Lattice:
             here = order[bound[d] : bound[d + 1]]
             if not len(here):
                 continue
-            e = spans(first[here], first[here + 1])
-            k = first[here + 1] - first[here]
+            a = first.take(here)
+            k = count.take(here)
             begin = np.cumsum(k) - k
-            v = w[e] + np.where(is_cut[to[e]], 0.0, suffix[to[e]])
+            e = np.arange(begin[-1] + k[-1]) + np.repeat(a - begin, k)
+            v = w.take(e) + suffix.take(to.take(e)) * within.take(to.take(e))
             top = np.maximum.reduceat(v, begin)
             suffix[here] = total = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, k)), begin))
             logp[e] = v - np.repeat(total, k)
@@ -306,33 +338,33 @@ def walked(g: Graph, words: np.ndarray, base: np.ndarray, tokens: np.ndarray) ->
     logp, count, parts = np.zeros(n), np.zeros(n, np.int64), []
     for lo in range(0, len(tokens), WALK):
         token = tokens[lo : lo + WALK]
-        node, own = g.start[words[token]], base[token]
+        node, own = g.start.take(words.take(token)), base.take(token)
         lp, step = np.zeros(len(token)), 0
         while len(token):
             u = uniform(own + _STEP * _U(step))
-            e = g.first[node]
-            p = g.pick[e]
+            e = g.first.take(node)
+            p = g.pick.take(e)
             on = np.flatnonzero(u >= p)
-            rest, p, at = u[on], p[on], e[on]
+            rest, p, at = u.take(on), p.take(on), e.take(on)
             while len(on):
                 rest -= p
                 at += 1
-                p = g.pick[at]
-                go = rest >= p
-                e[on[~go]] = at[~go]
-                on, rest, p, at = on[go], rest[go], p[go], at[go]
-            lp += g.logp[e]
+                p = g.pick.take(at)
+                e[on] = at  # the last one stays
+                go = np.flatnonzero(rest >= p)
+                on, rest, p, at = on.take(go), rest.take(go), p.take(go), at.take(go)
+            lp += g.logp.take(e)
             parts.append((token, step, e))
-            node = g.to[e]
-            live = node >= 0
-            done = token[~live]
-            logp[done], count[done] = lp[~live], step + 1
-            token, node, own, lp = token[live], node[live], own[live], lp[live]
+            node = g.to.take(e)
+            live, ended = np.flatnonzero(node >= 0), np.flatnonzero(node < 0)
+            done = token.take(ended)
+            logp[done], count[done] = lp.take(ended), step + 1
+            token, node, own, lp = token.take(live), node.take(live), own.take(live), lp.take(live)
             step += 1
     begin = np.concatenate([[0], np.cumsum(count)])
     flat = np.zeros(begin[-1], np.int64)
     for token, step, e in parts:
-        flat[begin[token] + step] = e
+        flat[begin.take(token) + step] = e
     return flat, begin, logp
 
 
