@@ -64,15 +64,19 @@ def embed(rel: Relation, related: DataFrame) -> DataFrame:
     keys = [related[r].cast("string").alias(f"_k{i}") for i, (_, r) in enumerate(rel.on)]
     names = [f"_k{i}" for i in range(len(rel.on))]
     order = ([rel.sort_by] if rel.sort_by in cols else []) + [t for t in rel.tie if t in related.columns] or cols
-    rank = F.struct(*[x for i, c in enumerate(order) for x in (related[c].isNotNull().alias(f"n{i}") if rel.nulls == "first" else related[c].isNull().alias(f"n{i}"), related[c].alias(f"v{i}"))])
-    rows = related.select(*keys, rank.alias("_o"), F.struct(*[related[c] for c in cols]).alias("_r"))
+    # One struct holds what is sorted by and the rest, each column once; a struct's nulls come first by themselves.
+    ranked = [x for i, c in enumerate(order) for x in ([related[c].isNull().alias(f"n{i}")] if rel.nulls == "last" else []) + [related[c].alias(f"v{i}")]]
+    place = {c: f"v{order.index(c)}" if c in order else f"r{i}" for i, c in enumerate(cols)}
+    rows = related.select(*keys, F.struct(*ranked, *[related[c].alias(place[c]) for c in cols if c not in order]).alias("_r"))
+    as_row = lambda x: F.struct(*[x[place[c]].alias(c) for c in cols])
     if rel.null_keys == "sql":
         rows = rows.where(reduce(Column.__and__, [F.col(n).isNotNull() for n in names]))
     if rel.many:
-        got = F.transform(F.array_sort(F.collect_list(F.struct("_o", "_r"))), lambda x: x["_r"])
+        got = F.transform(F.sort_array(F.collect_list("_r")), as_row)
     else:
-        got = F.min_by("_r", "_o")  # several matches: the smallest in the declared order
-    return rows.groupBy(*names).agg(got.alias(rel.embed_as))
+        got = F.min("_r")  # several matches: the smallest in the declared order
+    out = rows.groupBy(*names).agg(got.alias(rel.embed_as))
+    return out if rel.many else out.withColumn(rel.embed_as, as_row(F.col(rel.embed_as)))
 
 
 def compose(join: Join, tables: dict[str, DataFrame], keys: DataFrame | None = None) -> DataFrame:
