@@ -362,15 +362,26 @@ def named(classes: DataFrame, grouped: DataFrame, plain: bool) -> DataFrame:
     return joined.select("set_key", "component", F.when(F.col("odd"), F.col("smallest")).otherwise(F.col("component")).alias("component_id"))
 
 
-def members_of(df: DataFrame, rows: DataFrame, classes: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, n_shingles, registers, text): the classes in ``nodes``, with one text each; the only exchange of the table's texts."""
-    wanted = classes.select("node", "row.id", "row.text_hash", "n_shingles", "registers").join(nodes.distinct(), "node", "left_semi")
+def members_of(df: DataFrame, rows: DataFrame, classes: DataFrame, nodes: DataFrame, id_col: str, text_col: str, registers: int = REGISTERS, width: int = 5) -> DataFrame:
+    """(node, n_shingles, registers, text): the classes in ``nodes``, with one text each; the only exchange of the table's texts.
+
+    Registers are made again from the few texts that are left, which moves less than looking them up among all classes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = SetSketch(registers)
+        for b in batches:
+            sets = list(shingle_sets(b.column("text"), width))
+            regs = [sketch.registers(s).astype("<u2").tobytes() for s in sets]
+            yield pa.record_batch([b.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array(regs, pa.binary()), b.column("text")], names=["node", "n_shingles", "registers", "text"])
+
+    wanted = classes.select("node", "row.id", "row.text_hash").join(nodes.distinct(), "node", "left_semi")
     texts = keyed_texts(df, id_col, text_col)
     same = texts["id"].eqNullSafe(wanted["id"]) & (texts["text_hash"] == wanted["text_hash"])
-    out = texts.join(wanted, same).select("node", "n_shingles", "registers", "text")
+    out = texts.join(wanted, same).select("node", "text")
     if not rows.groupBy("id", "text_hash").count().where("count > 1").isEmpty():  # repeated rows
         out = out.dropDuplicates(["node"])
-    return park(out, "members")
+    return park(arrow_map(out, run, "node long, n_shingles long, registers binary, text string"), "members")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
