@@ -56,11 +56,16 @@ def committed(changes: DataFrame, commits: DataFrame, tx: str = "tx_id") -> Data
 
 
 def durable_prefix(rows: DataFrame, order: str, ok: str, watermark: str, by: list[str] | None = None) -> DataFrame:
-    """Watermark over the contiguous prefix of durable rows, by stream."""
+    """Watermark over the contiguous prefix of durable rows, by stream (D02, D06): what stands before the first row that
+    is not durable. Two aggregations; no stream's rows are ordered in one task, however many it has."""
     by = by or []
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    kept = rows.withColumn("_ok", F.min(F.col(ok).cast("int")).over(w)).where("_ok = 1")
-    return kept.groupBy(*by).agg(F.max(watermark).alias("watermark"))
+    late = rows.where(~F.coalesce(F.col(ok), F.lit(False)))
+    if by:
+        first = late.groupBy(*by).agg(F.min(order).alias("_late"))
+        marked = rows.join(first, by, "left")
+    else:
+        marked = rows.withColumn("_late", late.agg(F.min(order)).scalar())
+    return marked.where(F.col("_late").isNull() | (F.col(order) < F.col("_late"))).groupBy(*by).agg(F.max(watermark).alias("watermark"))
 
 
 def runs(rows: DataFrame, order: str, same: list[str], by: list[str]) -> DataFrame:
@@ -115,5 +120,10 @@ def batches(rows: DataFrame, order: str, by: list[str], size: int) -> DataFrame:
     return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1) / size))
 
 
+def confirmed_position(barriers: DataFrame, progress: int, seq: str = "seq", position: str = "position") -> DataFrame:
+    """One row: the position of the last barrier that the sink's progress has reached, null if none."""
+    return barriers.where(F.col(seq) <= progress).agg(F.max_by(position, seq).alias(position))
+
+
 def safe_ack(high: Column, sink: Column) -> Column:
     return F.least(high, sink)

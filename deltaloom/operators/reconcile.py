@@ -25,6 +25,19 @@ def drift(data: DataFrame, versions: DataFrame, key: str = "key") -> DataFrame:
     return both.agg(F.count("*").alias("n_keys"), F.count(F.when(F.col("v").isNull(), 1)).alias("data_only"), F.count(F.when(F.col("d").isNull(), 1)).alias("version_only"))
 
 
+def view_drift(values: DataFrame, manifests: DataFrame, owners: DataFrame, staging: DataFrame) -> DataFrame:
+    """One row of counts over a target of keyed views (K26). ``values``: key; ``manifests``: source, key (null: the
+    manifest is incomplete), what each source id claims; ``owners``: key, source, who a key says it belongs to;
+    ``staging``: key, what an unfinished write has left."""
+    claims = manifests.where("key is not null").select("key", F.col("source").alias("claim"))
+    own = owners.select("key", F.col("source").alias("owner"))
+    have = values.select("key", F.lit(1).alias("value"))
+    claimed = claims.join(have, "key", "left").join(own, "key", "left")
+    one = claimed.agg(F.count(F.when(F.col("value").isNull(), 1)).alias("missing_values"), F.count(F.when(F.col("owner").isNull(), 1)).alias("missing_owners"), F.count(F.when(F.col("owner") != F.col("claim"), 1)).alias("owner_mismatches"))
+    count = lambda df, name: df.agg(F.count("*").alias(name)).scalar().alias(name)
+    return one.select("*", count(own.join(claims, "key", "left_anti"), "orphan_owners"), count(have.join(own, "key", "left_anti"), "unowned_values"), count(manifests.where("key is null").select("source").distinct(), "incomplete_manifests"), count(staging, "staging_keys"))
+
+
 def schema_drift(old: DataFrame, new: DataFrame) -> DataFrame:
     """(col, type) lists: added, dropped, type_change."""
     j = old.select("col", F.col("type").alias("old_type")).join(new.select("col", F.col("type").alias("new_type")), "col", "full")

@@ -16,6 +16,14 @@ from ..functions.keys import glob_regex, parse_sort
 TOKEN = re.compile(r'\s*(\(|\)|AND\b|OR\b|NOT\b|[A-Za-z_][\w.]*:\[[^\]]*\]|[A-Za-z_][\w.]*:"[^"]*"|"[^"]*"|[^\s()]+)')
 
 
+def bound(value: str) -> Column:
+    """A range's end: a literal, or a time such as now, now-15m, now+1d."""
+    units = {"s": "SECONDS", "m": "MINUTES", "h": "HOURS", "d": "DAYS", "w": "WEEKS"}
+    if not (m := re.fullmatch(r"now(?:([+-])(\d+)([smhdw]))?", value)):
+        return F.lit(value)
+    return F.current_timestamp() if not m[1] else F.current_timestamp() + F.expr(f"INTERVAL '{m[1]}{m[2]}' {units[m[3]][:-1]}" if m[3] != "w" else f"INTERVAL '{m[1]}{int(m[2]) * 7}' DAY")
+
+
 def clause(token: str, text: list[str], columns: list[str] | None = None) -> Column:
     """A field that the documents do not have matches nothing."""
     fields, value = text, token
@@ -25,8 +33,8 @@ def clause(token: str, text: list[str], columns: list[str] | None = None) -> Col
             return F.lit(False)
     if m := re.match(r"\[(\S+) TO (\S+)\]", value):
         c = F.col(fields[0])
-        lo = F.lit(True) if m[1] == "*" else c >= F.lit(m[1])
-        return F.coalesce(lo & (F.lit(True) if m[2] == "*" else c <= F.lit(m[2])), F.lit(False))
+        lo = F.lit(True) if m[1] == "*" else c >= bound(m[1])
+        return F.coalesce(lo & (F.lit(True) if m[2] == "*" else c <= bound(m[2])), F.lit(False))
     phrase = value.strip('"')
     body = r"\s+".join("".join(r"\w*" if ch == "*" else r"\w" if ch == "?" else re.escape(ch) for ch in w) for w in phrase.split())
     out = F.lit(False)

@@ -167,6 +167,35 @@ def unknown_relations(changes: DataFrame, catalog: DataFrame, relation: str = "r
     return changes.join(known, relation, "left_semi"), skipped
 
 
+def wal2json(df: DataFrame, value: str = "value") -> DataFrame:
+    """Rows of logical replication as wal2json's second format writes them: action, lsn, namespace, relation, op, row and
+    old (JSON text of the columns' values; a column that was not sent is absent). Begin, commit and unknown actions have
+    no op; begin and commit keep their transaction's number (S01, S02)."""
+    get = lambda p: F.get_json_object(value, p)
+    cells = "array<struct<name:string,value:variant>>"
+
+    def image(path: str) -> Column:
+        items = F.from_json(get(path), cells)
+        pairs = F.transform(items, lambda x: F.concat(F.to_json(F.array(x["name"])).substr(F.lit(2), F.length(F.to_json(F.array(x["name"]))) - 2), F.lit(":"), F.coalesce(F.to_json(x["value"]), F.lit("null"))))
+        return F.when(items.isNotNull(), F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")))
+
+    action = get("$.action")
+    op = F.create_map(*map(F.lit, ("I", "insert", "U", "update", "D", "delete", "T", "truncate")))[action]
+    return df.select("*", action.alias("action"), get("$.lsn").alias("lsn"), get("$.xid").cast("long").alias("tx_id"), get("$.schema").alias("namespace"), get("$.table").alias("relation"), op.alias("op"), image("$.columns").alias("row"), image("$.identity").alias("old"))
+
+
+def graph_cdc(df: DataFrame, value: str = "event") -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of polled graph changes, JSON with eventType n or r, operation c, u or d, state.before and .after:
+    nodes (id, op, labels, properties), edges (id, op, type, src, dst, properties); a delete has the state before (S18)."""
+    get = lambda p: F.get_json_object(value, p)
+    op = F.create_map(*map(F.lit, ("c", "insert", "u", "update", "d", "delete")))[get("$.operation")]
+    at = lambda p: F.coalesce(get(f"$.state.after.{p}"), get(f"$.state.before.{p}"))
+    base = df.withColumn("op", op).where(F.col("op").isNotNull())
+    nodes = base.where(get("$.eventType") == "n").select(*df.columns, get("$.elementId").alias("id"), "op", F.from_json(at("labels"), "array<string>").alias("labels"), at("properties").alias("properties"))
+    edges = base.where(get("$.eventType") == "r").select(*df.columns, get("$.elementId").alias("id"), "op", get("$.type").alias("type"), get("$.start.elementId").alias("src"), get("$.end.elementId").alias("dst"), at("properties").alias("properties"))
+    return nodes, edges
+
+
 def table_schemas(columns: DataFrame) -> DataFrame:
     """(table, columns in ordinal order, primary key in key order, JSON columns) of a catalog's rows (table, column,
     ordinal, type, key_ordinal, check): a column is JSON by its type or by a json_valid() check (S30)."""

@@ -23,6 +23,12 @@ def snapshot(spark: SparkSession, target: str, schema, before: int | None = None
     return store.read(store.manifest(before), "rows", schema)
 
 
+def counted(df: DataFrame, name: str, **conditions: str) -> DataFrame:
+    """``df`` with counters that Spark reports under ``name`` with a query's or a batch's metrics: rows, and one for each
+    condition (C06). They cost no pass of their own."""
+    return df.observe(name, F.count(F.lit(1)).alias("rows"), *(F.count(F.when(F.expr(c), 1)).alias(k) for k, c in conditions.items()))
+
+
 def upsert_stream(changes: DataFrame, target: str, checkpoint: str, keys: list[str], version: str, dlq: str | None = None, good=None, buckets: int = 64):
     """Fold each micro-batch into the table by last writer; rows failing ``good`` go to ``dlq`` as JSON lines."""
     schema = changes.schema

@@ -303,3 +303,57 @@ def test_precise_rejection(spark):
 def test_batches_by_age(spark):
     rows = spark.createDataFrame([(i, "a", 1, datetime.datetime(2024, 1, 1, 0, 0, s)) for i, s in enumerate((0, 3, 9, 10, 11, 30))], "n int, lane string, b int, at timestamp")
     assert [r.batch for r in L.sized_batches(rows, "n", ["lane"], 3, 100, "b", "at", 10).orderBy("n").collect()] == [0, 0, 0, 1, 1, 2]
+
+
+def test_durable_prefix_of_one_stream(spark):
+    rows = spark.createDataFrame([(3, True), (1, True), (2, True), (5, False), (4, True), (6, True)], "n int, ok boolean").withColumn("w", F.col("n") * 10)
+    assert L.durable_prefix(rows, "n", "ok", "w").first().watermark == 40
+    assert L.durable_prefix(rows.where("ok"), "n", "ok", "w").first().watermark == 60
+    assert L.durable_prefix(rows.where("not ok"), "n", "ok", "w").first().watermark is None
+
+
+def test_event_ids_sort_by_time(spark):
+    rows = [(datetime.datetime(2024, 1, 1, 0, 0, 0, 1000 * i), i % 2) for i in range(1, 40)]
+    got = [r[0] for r in spark.createDataFrame(rows, "at timestamp, k int").select(K.event_id(F.col("at"), F.col("k"))).collect()]
+    assert got == sorted(got) and len(set(got)) == 39 and all(len(x) == 26 and set(x) <= set("0123456789ABCDEFGHJKMNPQRSTVWXYZ") for x in got)
+    at = int(rows[0][0].replace(tzinfo=datetime.timezone.utc).timestamp() * 1000)
+    assert sum("0123456789ABCDEFGHJKMNPQRSTVWXYZ".index(c) * 32 ** (9 - i) for i, c in enumerate(got[0][:10])) == at
+
+
+def test_logical_replication_rows(spark):
+    lines = ['{"action":"B","xid":7}', '{"action":"I","xid":7,"lsn":"0/1","schema":"s","table":"t","columns":[{"name":"id","value":1},{"name":"a","value":null}]}', '{"action":"U","schema":"s","table":"t","columns":[{"name":"id","value":2}],"identity":[{"name":"id","value":1}]}', '{"action":"D","schema":"s","table":"t","identity":[{"name":"id","value":2}]}', '{"action":"T","schema":"s","table":"t"}', '{"action":"M"}']
+    got = [(r.action, r.op, r.row, r.old, r.tx_id) for r in changes.wal2json(spark.createDataFrame([(x,) for x in lines], "value string")).collect()]
+    assert got == [("B", None, None, None, 7), ("I", "insert", '{"id":1,"a":null}', None, 7), ("U", "update", '{"id":2}', '{"id":1}', None), ("D", "delete", None, '{"id":2}', None), ("T", "truncate", None, None, None), ("M", None, None, None, None)]
+
+
+def test_graph_changes(spark):
+    lines = ['{"elementId":"n1","eventType":"n","operation":"u","state":{"before":{"labels":["A"],"properties":{"x":1}},"after":{"labels":["A","B"],"properties":{"x":2}}}}', '{"elementId":"e1","eventType":"r","operation":"d","type":"T","start":{"elementId":"n1"},"end":{"elementId":"n2"},"state":{"before":{"properties":{}}}}', '{"elementId":"n2","eventType":"n","operation":"zz"}']
+    nodes, edges = changes.graph_cdc(spark.createDataFrame([(x,) for x in lines], "event string"))
+    assert [(r.id, r.op, r.labels, r.properties) for r in nodes.collect()] == [("n1", "update", ["A", "B"], '{"x":2}')]
+    assert [(r.id, r.op, r.type, r.src, r.dst) for r in edges.collect()] == [("e1", "delete", "T", "n1", "n2")]
+
+
+def test_confirmed_position_and_counters(spark):
+    barriers = spark.createDataFrame([(1, "a:10"), (5, "a:90"), (9, "b:4")], "seq int, position string")
+    assert [L.confirmed_position(barriers, n).first().position for n in (0, 5, 8, 9)] == [None, "a:90", "a:90", "b:4"]
+    from pyspark.sql import Observation
+
+    seen = Observation("o")
+    barriers.observe(seen, F.count(F.lit(1)).alias("rows")).collect()
+    assert seen.get == {"rows": 3} and driver.counted(barriers, "n", late="seq > 4").count() == 3
+
+
+def test_view_drift(spark):
+    from deltaloom.operators import reconcile
+
+    values = spark.createDataFrame([("k1",), ("k2",), ("k5",)], "key string")
+    manifests = spark.createDataFrame([("s1", "k1"), ("s1", "k3"), ("s2", "k2"), ("s3", None)], "source string, key string")
+    owners = spark.createDataFrame([("k1", "s1"), ("k2", "s9"), ("k4", "s1")], "key string, source string")
+    got = reconcile.view_drift(values, manifests, owners, values.limit(0)).first().asDict()
+    assert got == {"missing_values": 1, "missing_owners": 1, "owner_mismatches": 1, "orphan_owners": 1, "unowned_values": 1, "incomplete_manifests": 1, "staging_keys": 0}
+
+
+def test_ranges_of_time(spark):
+    docs = spark.range(3).select(F.col("id").cast("string").alias("doc_id"), (F.current_timestamp() - F.expr("INTERVAL '1' HOUR") * F.col("id")).alias("at"))
+    assert [r.doc_id for r in S.search(docs, "at:[now-90m TO *]", []).collect()] == ["0", "1"]
+    assert [r.doc_id for r in S.search(docs, "at:[* TO now-1w]", []).collect()] == []
