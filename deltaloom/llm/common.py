@@ -90,8 +90,8 @@ def read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
-def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` for mapInArrow, which gives freed memory back to the system every second and when it ends.
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], every: float = 1.0) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, which gives freed memory back to the system ``every`` so many seconds and when it ends.
 
     Python workers live on from stage to stage; what their allocators keep counts against the executor all the while.
     """
@@ -107,7 +107,7 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
         last = time.monotonic()
         for out in run(batches):
             yield out
-            if time.monotonic() - last > 1:
+            if time.monotonic() - last > every:
                 del out
                 trim()
                 last = time.monotonic()
@@ -116,7 +116,7 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return task
 
 
-def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, trim_every: float = 1.0) -> DataFrame:
     """mapInArrow of a frugal ``run`` in batches of about BATCH bytes.
 
     The session's limit is lowered where it is higher: a batch is in memory in the executor's and in Python's buffers,
@@ -126,4 +126,4 @@ def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     had = conf.get(key).removesuffix("b")
     if not had.isdigit() or not 0 < int(had) <= BATCH:
         conf.set(key, f"{BATCH}b")
-    return df.mapInArrow(frugal(run), schema)
+    return df.mapInArrow(frugal(run, trim_every), schema)

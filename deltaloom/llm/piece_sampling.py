@@ -168,16 +168,16 @@ class Lattice:
 
     def lookup(self, words: list[str]) -> tuple[Graph, np.ndarray]:
         """A graph that has ``words``, and their places in it. Beyond KEEP words a worker keeps those that are wanted now."""
-        new = [w for w in words if w not in self.known]
+        place = list(map(self.known.get, words))
+        new = [w for w, i in zip(words, place) if i is None]
         if len(self.known) + len(new) > KEEP:
-            still = [w for w in words if w in self.known]
-            self.kept = self.kept.only_words(np.array([self.known[w] for w in still])) if still else None
+            still = [w for w, i in zip(words, place) if i is not None]
+            self.kept = self.kept.only_words(np.array([i for i in place if i is not None])) if still else None
             self.known = {w: i for i, w in enumerate(still)}
         for i in range(0, max(1, len(new)), BUILD):
             part = self.graph(new[i : i + BUILD])
             self.kept = part if self.kept is None else self.kept.plus(part)
-        for w in new:
-            self.known[w] = len(self.known)
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
         return self.kept, np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def slot(self, key: np.ndarray) -> np.ndarray:
@@ -336,6 +336,13 @@ def walked(g: Graph, words: np.ndarray, base: np.ndarray, tokens: np.ndarray) ->
     """
     n = len(words)
     logp, count, parts = np.zeros(n), np.zeros(n, np.int64), []
+    # Words that are one edge, marks and line feeds most of all, need no draw.
+    edge = g.first.take(g.start.take(words.take(tokens)))
+    sure = (g.pick.take(edge) == 2.0) & (g.to.take(edge) < 0)
+    done = tokens[sure]
+    count[done] = 1
+    parts.append((done, 0, edge[sure]))
+    tokens = tokens[~sure]
     for lo in range(0, len(tokens), WALK):
         token = tokens[lo : lo + WALK]
         node, own = g.start.take(words.take(token)), base.take(token)
@@ -621,7 +628,7 @@ def sampled_encodings(df: DataFrame, path: str, k: int, keys: list[str], text_co
                 yield pa.record_batch([*(own.column(c).take(take) for c in names), pa.array(rank, pa.int32()), lists, *(pa.array([x[j] for x in rest], pa.float64()) for j in range(3)), pa.array(lattice.decoded(ids), pa.string())], names=[*names, "rank", "ids", "log_prob", "perturbed", "inclusion", "decoded"])
 
     narrow = df.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keys)), text_of(text_col).alias("text"))
-    out = arrow_map(narrow, run, ", ".join(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(schema)) + ", rank int, ids array<int>, log_prob double, perturbed double, inclusion double, decoded string")
+    out = arrow_map(narrow, run, ", ".join(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(schema)) + ", rank int, ids array<int>, log_prob double, perturbed double, inclusion double, decoded string", trim_every=10)
     return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keys)})
 
 
