@@ -169,7 +169,8 @@ def star_distances(pairs: DataFrame, width: int = 5) -> DataFrame:
 def by_star(pairs: DataFrame) -> DataFrame:
     """(hub, chunk, side, node): partners in chunks of about BLOCK, each with its hub."""
     many = F.ceil(F.col("n") / BLOCK).cast("long")
-    partners = pairs.join(pairs.groupBy("hub").agg(F.count("*").alias("n")), "hub").select("hub", F.pmod(F.xxhash64("node"), many).alias("chunk"), "node")
+    sizes = park(pairs.groupBy("hub").agg(F.count("*").alias("n")), "star-sizes")  # a table of its own, so that a large hub's join can be split
+    partners = pairs.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("node"), many).alias("chunk"), "node")
     hubs = partners.select("hub", "chunk").distinct().select("hub", "chunk", F.lit(0).alias("side"), F.col("hub").alias("node"))
     return hubs.unionByName(partners.select("hub", "chunk", F.lit(1).alias("side"), "node"))
 
