@@ -40,8 +40,8 @@ from .components import components
 from .shingles import SetSketch, shingle_sets
 
 REGISTERS, MISS = 320, 1e-5
-#: Members of a block, and shingles of all of them; pairs whose registers are compared at once; width of a distance bin.
-BLOCK, BLOCK_SHINGLES, PAIRS, BIN = 512, 1_000_000, 4096, 0.05
+#: Members of a block, and shingles of all of them; pairs whose registers are compared at once; most distance bins.
+BLOCK, BLOCK_SHINGLES, PAIRS, BINS = 512, 1_000_000, 4096, 20
 #: Standard errors by which an estimate may be off.
 ERRORS = 5
 
@@ -294,21 +294,26 @@ def open_blocks(stars: DataFrame, joined: DataFrame, sizes: DataFrame, percent:
     main = hubs.select("hub", "node").join(component, "node", "left").select("hub", F.coalesce("joined", "node").alias("main"))
     members = park(all_.join(main, "hub").withColumn("out", F.col("joined") != F.col("main")), "star-members")
     open_ = members.where("out").select("hub").distinct()
-    members = members.join(open_, "hub", "left_semi").withColumn("bin", F.floor(F.col("low") / BIN).cast("int"))
+    members = members.join(open_, "hub", "left_semi")
+    # A star of one block's size is one block; a larger one has bins of the distance, as many as it has blocks.
+    blocks_of = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    bins = park(members.groupBy("hub").agg(F.least(blocks_of, F.lit(BINS)).alias("bins")), "bins")
+    members = members.join(bins, "hub").withColumn("bin", F.floor(F.col("low") * F.col("bins")).cast("int"))
+    members = members.withColumn("out", F.col("out") | (F.col("bins") == 1)).withColumn("bin", F.when(F.col("bins") > 1, F.col("bin")).otherwise(0))
     # Blocks of bounded rows and shingles.
-    key = ["hub", "out", "bin"]
+    key = ["hub", "bins", "out", "bin"]
     total = members.groupBy(*key).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("long").alias("parts"))
-    placed = park(members.join(total, key).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).select("hub", "out", "bin", "part", "node", "joined", "high"), "blocks")
+    placed = park(members.join(total, key).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).select(*key, "part", "node", "joined", "high"), "blocks")
     blocks = placed.groupBy(*key, "part").agg(F.max("high").alias("high"))
     # Outside members against all: the block of the smaller bin (then the lesser part) is the first.
-    one = blocks.where("out").select("hub", *(F.col(c).alias(f"a_{c}") for c in ("out", "bin", "part", "high")))
-    two = blocks.select("hub", *(F.col(c).alias(f"b_{c}") for c in ("out", "bin", "part", "high")))
+    one = blocks.where("out").select("hub", "bins", *(F.col(c).alias(f"a_{c}") for c in ("out", "bin", "part", "high")))
+    two = blocks.select("hub", "bins", *(F.col(c).alias(f"b_{c}") for c in ("out", "bin", "part", "high")))
     reach = 1 - percent / 100 + 1e-9
-    pairs = one.join(two, "hub").where("not b_out or a_bin < b_bin or (a_bin = b_bin and a_part <= b_part)")
-    pairs = pairs.where((F.col("b_bin") * BIN <= F.col("a_high") + reach) & (F.col("a_bin") * BIN <= F.col("b_high") + reach))
+    pairs = one.join(two, ["hub", "bins"]).where("not b_out or a_bin < b_bin or (a_bin = b_bin and a_part <= b_part)")
+    pairs = pairs.where((F.col("b_bin") / F.col("bins") <= F.col("a_high") + reach) & (F.col("a_bin") / F.col("bins") <= F.col("b_high") + reach))
     pairs = park(pairs.withColumn("task", F.monotonically_increasing_id()), "block-pairs")
     same = F.col("b_out") & (F.col("a_bin") == F.col("b_bin")) & (F.col("a_part") == F.col("b_part"))
-    side = lambda c, n: pairs.where(~same | F.lit(n == 0)).select("task", F.lit(n).alias("side"), "hub", *(F.col(f"{c}_{x}").alias(x) for x in ("out", "bin", "part")))
+    side = lambda c, n: pairs.where(~same | F.lit(n == 0)).select("task", F.lit(n).alias("side"), "hub", "bins", *(F.col(f"{c}_{x}").alias(x) for x in ("out", "bin", "part")))
     return side("a", 0).unionByName(side("b", 1)).join(placed, [*key, "part"]).select("task", "side", "node", "joined")
 
 
