@@ -357,3 +357,18 @@ def test_ranges_of_time(spark):
     docs = spark.range(3).select(F.col("id").cast("string").alias("doc_id"), (F.current_timestamp() - F.expr("INTERVAL '1' HOUR") * F.col("id")).alias("at"))
     assert [r.doc_id for r in S.search(docs, "at:[now-90m TO *]", []).collect()] == ["0", "1"]
     assert [r.doc_id for r in S.search(docs, "at:[* TO now-1w]", []).collect()] == []
+
+
+def test_bson_documents_of_any_depth(spark):
+    doc = {"a": [{"b": {"c": [{"$oid": "0f"}, {"$date": {"$numberLong": "-1"}}, {"$numberDouble": "-1.5E3"}, {"$numberLong": "-007"}, {"$numberInt": "00"}, {"$date": {"$numberLong": "0000"}}]}}], "s": '{"$oid":"x"}', "{": {"$date": {"$numberLong": str(-(2**63))}}, "n": {"$numberDouble": "NaN"}, "t": {"$timestamp": {"t": 7, "i": 1}}, "r": {"$date": "2024-01-01T00:00:00Z"}, "x": {"$oid": "1", "y": 2}}
+    want = {"a": [{"b": {"c": ["0f", "1969-12-31T23:59:59.999Z", -1500.0, -7, 0, "1970-01-01T00:00:00Z"]}}], "s": '{"$oid":"x"}', "{": {"$date": -(2**63)}, "n": None, "t": {"t": 7, "i": 1}, "r": "2024-01-01T00:00:00Z", "x": {"$oid": "1", "y": 2}}
+    df = spark.createDataFrame([(json.dumps(doc),), (json.dumps(doc, separators=(",", ":")),)], "doc string").select(changes.bson_document(F.col("doc")).alias("x"))
+    assert [json.loads(r.x) for r in df.collect()] == [want, want]
+    assert spark.createDataFrame([(None,), ("",), ("not {json",)], "doc string").select(changes.bson_document(F.col("doc")).alias("x")).collect() == [(None,), ("",), ("not {json",)]
+
+
+def test_bson_document_is_read_in_few_passes(spark):
+    """The text is one operand of the expression; it was parsed again for each member and marker."""
+    df = spark.createDataFrame([("{}",)], "doc string").where("length(doc) > 1").select(changes.bson_document(F.col("doc")).alias("x"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.split("Filter")[0].count("doc#") == 1 and "from_json" not in plan
