@@ -5,8 +5,12 @@ Every fold is one aggregation by key with map-side combine; only ordered partial
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def last_writer(changes: DataFrame, keys: list[str], version: str, arrival: str) -> DataFrame:
@@ -88,23 +92,30 @@ def stamped(docs: DataFrame, changes: DataFrame, position: str, name: str) -> Da
 def sized_batches(rows: DataFrame, order: str, by: list[str], size: int, most_bytes: int, nbytes: str, at: str | None = None, age_s: int | None = None) -> DataFrame:
     """Flush a lane after ``size`` events, before more than ``most_bytes`` are held, or when the first is ``age_s`` old.
 
-    A batch begins where the one before ends, which no window function can say; each lane's rows are gathered as
-    (order, bytes, seconds) alone and cut by one fold over them."""
-    pos = F.struct(F.col(order).alias("o"), F.col(nbytes).cast("long").alias("b"), (F.unix_timestamp(at) if at else F.lit(0)).cast("long").alias("t"))
-    lanes = rows.groupBy(*by).agg(F.array_sort(F.collect_list(pos)).alias("_e"))
-    full = lambda s, x: (s["n"] >= size) | ((s["n"] > 0) & (s["b"] + x["b"] > most_bytes)) | ((s["n"] > 0) & (x["t"] - s["t"] >= age_s) if age_s is not None else F.lit(False))
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("k"), zero.alias("n"), zero.alias("b"), zero.alias("t"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        new, one = full(s, x), F.lit(1).cast("long")
-        k = F.when(new, s["k"] + one).otherwise(s["k"])
-        first = new | (s["n"] == 0)
-        return F.struct(k.alias("k"), F.when(new, one).otherwise(s["n"] + one).alias("n"), F.when(new, x["b"]).otherwise(s["b"] + x["b"]).alias("b"), F.when(first, x["t"]).otherwise(s["t"]).alias("t"), F.concat(s["out"], F.array(k)).alias("out"))
-
-    cut = lanes.withColumn("_b", F.aggregate("_e", start, step, lambda s: s["out"]))
-    placed = cut.select(*by, F.explode(F.arrays_zip(F.col("_e.o").alias("o"), F.col("_b").alias("b"))).alias("_x")).select(*by, F.col("_x.o").alias(order), F.col("_x.b").alias("batch"))
-    return rows.join(placed, [*by, order])
+    A batch begins where the one before ends, which no window function can say: rows are sorted by lane, as for a window,
+    and pass by once in Arrow batches, with the open batch as the only state. Every row stays, also one of a null lane or
+    of an order that another has (fewer bytes first); unknown bytes leave what is held unknown until the next batch."""
+    w = Window.partitionBy(*by).orderBy(F.col(order).asc_nulls_last(), F.col(nbytes), *([at] if at else []))
+    seconds = F.unix_timestamp(at) if at else F.lit(None)
+    lanes = rows.select("*", F.row_number().over(w).alias("_i"), F.col(nbytes).cast("long").alias("_b"), seconds.cast("long").alias("_t"))
+    names = rows.columns
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = n = 0
+        held = first = None
+        for p in parts:
+            out = []
+            for i, b, t in zip(*(p.column(c).to_pylist() for c in ("_i", "_b", "_t")), strict=True):
+                if i == 1:
+                    k, n, held, first = 0, 1, b, t
+                elif n >= size or (held is not None and b is not None and held + b > most_bytes) or (age_s is not None and first is not None and t is not None and t - first >= age_s):
+                    k, n, held, first = k + 1, 1, b, t
+                else:
+                    n, held = n + 1, None if held is None or b is None else held + b
+                out.append(k)
+            yield pa.RecordBatch.from_arrays([*p.columns[: len(names)], pa.array(out, pa.int64())], names=[*names, "batch"])
+
+    return lanes.mapInArrow(run, StructType([*rows.schema.fields, StructField("batch", LongType())]))
 
 
 def precise_rejection(rejected: DataFrame, count: int, first: int, last: int, offset: str = "offset") -> DataFrame:

@@ -305,6 +305,40 @@ def test_batches_by_age(spark):
     assert [r.batch for r in L.sized_batches(rows, "n", ["lane"], 3, 100, "b", "at", 10).orderBy("n").collect()] == [0, 0, 0, 1, 1, 2]
 
 
+def sized(rows, size, most, age=None):
+    """The batches of one lane, by a plain loop; None is an unknown size."""
+    out, k, n, held, first = [], 0, 0, 0, None
+    for b, t in rows:
+        if n and (n >= size or (None not in (held, b) and held + b > most) or (age is not None and t - first >= age)):
+            k, n = k + 1, 0
+        held, first = (b, t) if not n else (None if None in (held, b) else held + b, first)
+        n += 1
+        out.append(k)
+    return out
+
+
+def test_long_lanes_are_batched_in_one_pass(spark):
+    """Lanes longer than an Arrow batch, with rows above the bound and unknown sizes; no lane is gathered in one value."""
+    i = F.col("n")
+    rows = spark.range(50_000).withColumnRenamed("id", "n").select("n", (i % 2).alias("lane"), F.when(i % 97 > 0, i * 7919 % 331).alias("b"), F.timestamp_seconds(i * i % 7 + i).alias("at"))
+    for at, age in ((None, None), ("at", 40)):
+        got = L.sized_batches(rows, "n", ["lane"], 50, 3000, "b", at, age)
+        assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+        found = {r.n: r.batch for r in got.select("n", "batch").collect()}
+        for lane in (0, 1):
+            ns = range(lane, 50_000, 2)
+            assert [found[n] for n in ns] == sized([(n * 7919 % 331 if n % 97 else None, n * n % 7 + n) for n in ns], 50, 3000, age)
+
+
+def test_sized_batches_keep_every_row(spark):
+    """A null lane is a lane, equal orders are rows of their own, a null order is the last; other columns pass."""
+    rows = spark.createDataFrame([(None, 1, 5, "a"), (None, 2, 5, "b"), ("x", 1, 4, "c"), ("x", 1, 3, "d"), ("x", None, 1, "e"), ("x", 2, 9, "f")], "lane string, n int, b int, v string")
+    got = L.sized_batches(rows, "n", ["lane"], 2, 100, "b")
+    assert got.columns == ["lane", "n", "b", "v", "batch"]
+    assert {r.v: r.batch for r in got.collect()} == {"a": 0, "b": 0, "d": 0, "c": 0, "f": 1, "e": 1}
+    assert L.sized_batches(rows.where("n > 9"), "n", ["lane"], 2, 100, "b").collect() == []
+
+
 def test_durable_prefix_of_one_stream(spark):
     rows = spark.createDataFrame([(3, True), (1, True), (2, True), (5, False), (4, True), (6, True)], "n int, ok boolean").withColumn("w", F.col("n") * 10)
     assert L.durable_prefix(rows, "n", "ok", "w").first().watermark == 40
